@@ -32,7 +32,8 @@ def _by_doc(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _same(doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of (document, hash) pairs: the document of each different pair, its count, and each row's pair."""
     with np.errstate(over="ignore"):
-        key = mix(hashes + mix(doc.astype(np.uint64) + np.uint64(1)))
+        # documents get numbers far from those of short spans, or the two could change places in the sum
+        key = mix(hashes + mix(doc.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(0x5851F42D4C957F2D)))
     _, first, inverse, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
     return doc[first], n, inverse
 
