@@ -138,7 +138,7 @@ def sequences(pieces: DataFrame, length: int = LENGTH, pad_id: int = END_ID) ->
     A sequence has ``length`` ids at most, so no group is larger than that.
     """
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["offset"].to_pylist(), table["piece"].to_pylist(), strict=True))
         ids = np.concatenate([unpack_ids(x) for _, x in rows])
         full = np.append(ids, np.full(length - len(ids), pad_id, np.uint32))
