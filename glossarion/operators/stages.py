@@ -14,9 +14,9 @@ from ..functions.regex import spans
 from . import punctuation, spelling
 
 #: Characters that leave a text as it is under compatibility normalisation and split no line; other texts take the slow path.
-_PLAIN = r"[^\x00-\x0A\x0D-\x1B\x20-\x84\x86-\xA0\xAB\xBB\xC0-\xFFЀ-џ​–—‘’“-„⟦⟧]"
+_PLAIN = r"[^\x00-\x0A\x0D-\x1B\x20-\x84\x86-\xA0\xAB\xBB\xC0-\xFF\x{0400}-\x{045F}\x{200B}\x{2013}\x{2014}\x{2018}\x{2019}\x{201C}-\x{201E}\x{27E6}\x{27E7}]"
 #: Line ends and blanks that the fast way to trim lines doesn't know.
-_ODD_LINES = r"[\r\x0B\x0C\x1C-\x1F\x85\xA0  -     　]"
+_ODD_LINES = r"[\r\x0B\x0C\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 COUNTERS = (
     "normalize_changes_count", "typo_corrections_count", "punctuation_fixes_count", "morph_blocked_count", "morph_allowed_count", "morph_unknown_count",
