@@ -90,49 +90,18 @@ def _fingerprint(x: np.ndarray) -> bytes:
 
 
 def _sketch(docs: DataFrame, text: str, id: str, rows: int, bands: int) -> DataFrame:
-    """id, n (set size), set (its fingerprint; empty for an empty set), bands (packed)."""
+    """id, n (set size), set (its fingerprint; empty for an empty set), bands (empty for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingles(*utf8(batch, "_text"))
             full = [i for i, x in enumerate(sets) if len(x)]
-            packed: list[bytes | None] = [None] * len(sets)
-            if full:
-                for i, row in zip(full, signatures([sets[i] for i in full], rows, bands), strict=True):
-                    packed[i] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_fingerprint(x) for x in sets], pa.binary()), pa.array(packed, pa.binary())], names=["id", "n", "set", "bands"])
+            size = np.array([bands if len(x) else 0 for x in sets], np.int32)
+            flat = signatures([sets[i] for i in full], rows, bands).view(np.int64).ravel() if full else np.zeros(0, np.int64)
+            hashes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_fingerprint(x) for x in sets], pa.binary()), hashes], names=["id", "n", "set", "bands"])
 
-    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("_text")).mapInArrow(run, "id long, n long, set binary, bands binary")
-
-
-def _band_rows(classes: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rep = np.asarray(batch.column(0))
-            band = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-            if len(rep):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rep, len(band) // len(rep))), pa.array(band)], names=["rep", "band"])
-
-    return classes.select("rep", "bands").mapInArrow(run, "rep long, band long")
-
-
-class _Links:
-    """Union-find over the documents of a task."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
+    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("_text")).mapInArrow(run, "id long, n long, set binary, bands array<long>")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -149,30 +118,31 @@ def link(sets: list[np.ndarray], bands: np.ndarray, percent: int, label: np.ndar
     """Links that join all documents which share a band and are similar, without those that join nothing new.
 
     ``label``: documents of one label are joined already. ``left``: only pairs of one of the first ``left`` documents and one of the
-    others. Pairs are looked at within each band's documents; a pair of joined documents is skipped, and a pair is compared once.
+    others. Pairs are looked at within each band's documents; joined documents are skipped, and a pair is compared once. Memory: a byte
+    for each pair of the task's documents, which are at most two blocks.
     """
-    n = len(sets)
-    links, found = _Links(n), []
-    by_label: dict[int, int] = {}
-    for i, x in enumerate(label.tolist()):
-        links.join(i, by_label.setdefault(x, i))
-    compared: set[int] = set()
-    flat = np.argsort(bands, axis=None, kind="stable")
-    keys, doc = bands.ravel()[flat], flat // bands.shape[1]
+    n, found = len(sets), []
+    size = np.array([len(x) for x in sets])
+    _, group = np.unique(label, return_inverse=True)  # the component of each document, renamed as components join
+    side = np.zeros(n, np.int8) if left is None else (np.arange(n) >= left).astype(np.int8)
+    open_ = np.ones((n, n), bool) if left is None else side[:, None] != side[None, :]  # pairs that may be compared
+    order = np.argsort(bands, axis=None, kind="stable")
+    keys, doc = bands.ravel()[order], order // bands.shape[1]
     cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-    groups = {tuple(sorted(doc[a:b].tolist())) for a, b in zip(cut[:-1], cut[1:], strict=True) if b - a > 1}
-    for group in sorted(groups, key=len):
-        for gap in range(1, len(group)):
-            roots = [links.root(i) for i in group]
-            if len(set(roots)) == 1:
-                break
-            for i, j in zip(group, group[gap:], strict=False):
-                if links.root(i) == links.root(j) or (left is not None and (i < left) == (j < left)) or i * n + j in compared:
+    shared = {doc[a:b].tobytes(): doc[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True) if b - a > 1}
+    for members in sorted(shared.values(), key=len):
+        if (group[members] == group[members[0]]).all():
+            continue
+        for k, i in enumerate(members[:-1]):
+            rest = members[k + 1 :]
+            rest = rest[open_[i, rest] & (group[rest] != group[i]) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))]
+            for j in rest:
+                if group[j] == group[i]:
                     continue
-                compared.add(i * n + j)
+                open_[i, j] = open_[j, i] = False
                 if similar(sets[i], sets[j], percent):
-                    links.join(i, j)
-                    found.append((i, j))
+                    group[group == group[j]] = group[i]
+                    found.append((int(i), int(j)))
     return found
 
 
@@ -184,8 +154,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", id:
     2. Documents of one set are one class, named by its least id. Classes that share a band are candidates, and connected
        candidates form a group (components over links from each class to the least class of its band, never all pairs).
     3. Sets of classes in groups are made again. A group of up to ``block`` classes is linked in one task; a larger one is cut into
-       blocks, each linked in a task, then neighbouring blocks, then all pairs of blocks that hold classes still apart. A task compares
-       full sets, and only of classes that are still apart. So no candidate is dropped however large its group is.
+       blocks; each is linked in a task, alone and with the next, and then all pairs of blocks that hold classes still apart. A task
+       compares full sets, and only of classes that are still apart. So no candidate is dropped however large its group is.
     4. Links give components.
 
     Null texts and texts without words have the empty set, and each is a component of its own. A row with a null id takes the component of
@@ -195,17 +165,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", id:
     prepare(spark)
     sketch = stored(_sketch(docs, text, id, rows, bands))
     classes = sketch.where("n > 0 and id is not null").groupBy("set").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("n").alias("n"))
-    # of a doc_id that repeats with different texts, the classes need names of their own
-    classes = stored(classes.withColumn("doc", F.col("rep")))
-    band_rows = _band_rows(classes)
+    classes = stored(classes)
+    band_rows = classes.select("rep", F.explode("bands").alias("band"))
     least = band_rows.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select(F.col("band").alias("b"), "low")
     star = stored(band_rows.join(least, F.col("band") == F.col("b")).where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct())
     release(spark)
     groups = components(star).select(F.col("node").alias("rep"), F.col("component").alias("group"))
     members = stored(groups.join(classes.select("rep", "set", "bands"), "rep"))
     release(spark)
-    links = stored(_linked(_with_sets(docs, members, text, id), percent, block))
-    linked = components(links).select(F.col("node").alias("rep"), "component")
+    linked = _linked(_with_sets(docs, members, text, id), percent, block)
     named = classes.select("set", "rep").join(linked, "rep", "left").select(F.col("set").alias("_set"), F.coalesce("component", "rep").alias("_component"))
     release(spark)
     return sketch.join(stored(named), F.col("set") == F.col("_set"), "left").select(
@@ -227,41 +195,38 @@ def _with_sets(docs: DataFrame, members: DataFrame, text: str, id: str) -> DataF
 
     asked = members.select(F.col("rep").alias("_rep"), "set", "group", "bands")
     rows = docs.select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_text")).join(asked.hint("shuffle_hash"), F.col("_id") == F.col("_rep")).select("_rep", "set", "group", "bands", "_text")
-    return rows.mapInArrow(run, "rep long, group long, bands binary, hashes binary")
+    return rows.mapInArrow(run, "rep long, group long, bands array<long>, hashes binary")
 
 
 def _linked(rows: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links (a, b) that join all similar candidates of each group."""
+    """rep and component of all classes that similar candidates of their group join."""
     spark = rows.sparkSession
     rows = stored(rows)
-    sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
-    rows = rows.join(sizes.hint("shuffle_hash"), "group").withColumn("label", F.col("rep"))
-    small = _run(rows.where(F.col("size") <= block).withColumns({"i": F.lit(0), "j": F.lit(0)}), percent)
-    large = rows.where(F.col("size") > block).withColumns({"blocks": F.ceil(F.col("size") / block).cast("int")}).withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    large = stored(large.drop("size", "label"))
+    sizes = rows.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    at, n = F.col("at"), F.col("blocks")
+    rows = rows.join(sizes.hint("shuffle_hash"), "group").withColumn("at", F.pmod(F.xxhash64("rep"), n).cast("int"))
+    # each block alone, and with the next; most groups are one block
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    near = F.array_distinct(F.array(pair(at, at), pair(at, F.pmod(at + 1, n)), pair(F.pmod(at - 1, n), at)))
+    first = rows.withColumns({"label": F.col("rep"), "p": F.explode(near)}).withColumns({"i": F.col("p.i"), "j": F.col("p.j")})
+    known = components(stored(_run(first, percent))).select(F.col("node").alias("rep"), "component")
+    large = rows.where("blocks > 1")
     if large.isEmpty():
-        return small
-    links = stored(small)
-    for turn in range(3):
-        known = components(links).select(F.col("node").alias("rep"), F.col("component").alias("label"))
-        now = large.join(known.hint("shuffle_hash"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        if turn == 0:
-            pairs = now.withColumns({"i": F.col("at"), "j": F.col("at")})
-        elif turn == 1:
-            following = F.array(F.col("at"), F.pmod(F.col("at") - 1, F.col("blocks")))
-            pairs = now.withColumn("i", F.explode(F.array_distinct(following))).withColumn("j", F.pmod(F.col("i") + 1, F.col("blocks")))
-        else:
-            # blocks whose classes are all in the group's largest component need no comparison with one another
-            count = now.groupBy("group", "label").agg(F.count(F.lit(1)).alias("m"))
-            main = count.groupBy("group").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
-            now = now.join(main.hint("shuffle_hash"), "group")
-            rest = now.where("label <> main").groupBy("group").agg(F.collect_set("at").alias("rest"))
-            now = now.drop("main").join(rest.hint("shuffle_hash"), "group")
-            other = F.when(F.array_contains("rest", F.col("at")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.col("rest"))
-            pairs = now.withColumn("k", F.explode(other)).withColumns({"i": F.least("at", "k"), "j": F.greatest("at", "k")}).where("i <> j").drop("k", "rest")
-        links = stored(links.union(_run(pairs, percent)))
-        release(spark)
-    return links
+        return known
+    now = stored(large.join(known.hint("shuffle_hash"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component"))
+    # blocks whose classes are all in the group's largest component need no comparison with one another
+    count = now.groupBy("group", "label").agg(F.count(F.lit(1)).alias("m"))
+    main = count.groupBy("group").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    now = now.join(main.hint("shuffle_hash"), "group")
+    rest = now.where("label <> main").groupBy("group").agg(F.collect_set("at").alias("rest"))
+    now = now.drop("main").join(rest.hint("shuffle_hash"), "group")
+    other = F.when(F.array_contains("rest", at), F.sequence(F.lit(0), n - 1)).otherwise(F.col("rest"))
+    pairs = now.withColumn("k", F.explode(other)).withColumns({"i": F.least("at", "k"), "j": F.greatest("at", "k")}).where("i <> j")
+    more = stored(_run(pairs, percent))
+    release(spark)
+    if more.isEmpty():
+        return known
+    return components(known.toDF("a", "b").union(more)).select(F.col("node").alias("rep"), "component")
 
 
 def _run(rows: DataFrame, percent: int) -> DataFrame:
@@ -269,12 +234,10 @@ def _run(rows: DataFrame, percent: int) -> DataFrame:
         t = table.sort_by("rep").to_pydict()
         order = sorted(range(len(t["rep"])), key=lambda k: (t["at"][k] != t["i"][k], t["rep"][k]))
         sets = [np.frombuffer(t["hashes"][k], np.uint64) for k in order]
-        bands = np.frombuffer(b"".join(t["bands"][k] for k in order), np.uint64).reshape(len(sets), -1)
+        bands = np.array([t["bands"][k] for k in order], np.int64)
         rep = [t["rep"][k] for k in order]
         left = None if t["i"][0] == t["j"][0] else sum(t["at"][k] == t["i"][k] for k in order)
         found = link(sets, bands, percent, np.array([t["label"][k] for k in order]), left)
         return pa.table({"a": pa.array([rep[i] for i, _ in found], pa.int64()), "b": pa.array([rep[j] for _, j in found], pa.int64())})
 
-    if "at" not in rows.columns:
-        rows = rows.withColumn("at", F.lit(0))
     return rows.select("group", "i", "j", "at", "rep", "label", "bands", "hashes").groupBy("group", "i", "j").applyInArrow(task, "a long, b long")

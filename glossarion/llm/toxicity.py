@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,9 @@ from .common import LOWER, chunks, mix, prefix_hash, prepare, span_hash, stored,
 from .quality import labelled
 from .rules import statistics
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 #: Everything is fitted on so many labelled rows at most, those with the least hash of their id.
 SAMPLE = 20_000
 FIT_TASKS = 8
