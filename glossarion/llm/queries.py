@@ -90,4 +90,23 @@ ORACLE_SQL: dict[str, str] = {
         w AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT d.doc_id, w.keep_id, w.group_size, d.doc_id IS NOT DISTINCT FROM w.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN w ON d.t = w.t""",
+    "op5_minhash": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 85 * (nx.n + ny.n - k)),
+        e AS (SELECT x AS a, y AS b FROM l UNION SELECT y, x FROM l),
+        r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON r.node = e.a),
+        c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.root AS component_id, c.root = w.doc_id AS kept
+        FROM w JOIN c ON c.node = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id""",
+    "op10_chat": rf"""
+        WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '{HOSTILE}' UNION ALL SELECT -1, 1, 'assistant', '{HOSTILE}')
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn)) AS turns_sha256,
+            CAST(coalesce(sum(length(t)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(t, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(length('{chat.START}') + length(role) + 1 + length(regexp_replace(t, '<(\\*)\|', '<\\\1|', 'g')) + length('{chat.END}') + 1) AS BIGINT) AS formatted_chars
+        FROM c GROUP BY conv_id""",
 }
