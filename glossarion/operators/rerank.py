@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regex import BORDER, WORD
+from ..functions.regex import BORDER, WORD, tokens
 from .lexicon import base_score, top_k
 from .morph import FUNCTION_WORDS
 from .ngrams import BEGIN, END, OTHER
@@ -162,3 +162,60 @@ def heuristic_score(token: Column, term: Column, rank: Column, distance: Column,
         - cost(F.coalesce(b["variants"], F.lit(0)) > F.coalesce(a["variants"], F.lit(0)) + 2, 0.15)
         + gain
     )
+
+
+def heuristic_replay(cases: DataFrame, dictionary: DataFrame, morph: DataFrame | None = None, id: str = "case_id", text: str = "text", k: int = 3, distance: int = 1, margin: float = 0.20, least: float = 0.05, buffer: int = 1) -> DataFrame:
+    """``id``, output and the counts generated, applied, not_applied and ambiguous: candidates of safe words, weighed with their neighbours.
+
+    Zones are masked. A word's candidates are the closest terms of ``dictionary`` (term, rank), the best ``k``; the best score must be
+    ``least`` at least and lead by ``margin``. Plural drops, what the morphological guard blocks, and words within ``buffer`` of
+    a zone stay. ``morph`` as in ``morph.decisions``; without it words have no readings. Candidates are looked up once for each different word.
+    """
+    from pyspark.sql import Window
+
+    from ..functions import zones
+    from . import spelling
+    from .candidates import closest, within
+    from .morph import guarded
+
+    masked = cases.select(id, F.coalesce(F.col(text), F.lit("")).alias("_raw")).withColumn("_zones", zones.zones(F.col("_raw")))
+    masked = masked.withColumns({"_values": zones.originals(F.col("_raw"), F.col("_zones")), "_text": zones.mask(F.col("_raw"), F.col("_zones"))})
+    masked = masked.withColumns({"_words": tokens(F.col("_text"), 2), "_holes": zones.placeholder_spans(F.col("_text"))})
+    word = masked.select(id, "_text", "_words", "_holes", F.posexplode("_words").alias("pos", "w"))
+    at = lambda shift: F.try_element_at(F.col("_words"), F.col("pos") + shift)["value"]
+    word = word.select(
+        id, "pos", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("w.value").alias("token"),
+        F.when(F.col("pos") > 0, F.get(F.col("_words"), F.col("pos") - 1)["value"]).alias("left"), at(2).alias("right"),
+        spelling.wrapped(F.col("_text"), F.col("w.start"), F.col("w.end"), ("@", "#")).alias("wrapped"),
+        F.exists("_holes", lambda z: (F.col("w.start") < z["end"] + buffer) & (F.col("w.end") > z["start"] - buffer)).alias("blocked"),
+    ).where(spelling.safe_token(F.col("token")) & ~F.col("wrapped"))
+    rank = Window.partitionBy("token").orderBy("distance", "rank")
+    found = closest(within(word.select("token"), dictionary, distance)).withColumn("base_rank", F.row_number().over(rank) - 1)
+    found = found.where((F.col("term") != F.col("token")) & spelling.safe_candidate(F.col("term")))
+    found = found.withColumn("_k", F.row_number().over(rank)).where(F.col("_k") <= k).select(F.col("token").alias("_t"), "term", "distance", "base_rank")
+    rows = word.join(found, F.col("token") == F.col("_t"))
+    reading = "pos string, lemma string, grammemes array<string>, variants int"
+    if morph is None:
+        for name in ("a", "b", "l", "r"):
+            rows = rows.withColumn(f"_{name}", F.expr(f"cast(null as struct<{reading.replace(' ', ':').replace(',:', ',')}>)"))
+    else:
+        first = morph.groupBy("form").agg(F.max_by(F.struct("pos", "lemma", "grammemes"), "score").alias("f"), F.count(F.lit(1)).cast("int").alias("n"))
+        first = first.select("form", F.struct("f.pos", "f.lemma", "f.grammemes", F.col("n").alias("variants")).alias("x"))
+        for name, key in (("a", "token"), ("b", "term"), ("l", "left"), ("r", "right")):
+            one = first.select(F.col("form").alias(f"_f{name}"), F.col("x").alias(f"_{name}"))
+            rows = rows.join(one, F.col(key) == F.col(f"_f{name}"), "left").drop(f"_f{name}")
+    gain = agreement(F.col("_b.grammemes"), F.col("_l.grammemes"), F.col("_r.grammemes"))
+    rows = rows.withColumn("score", heuristic_score(F.col("token"), F.col("term"), F.col("base_rank"), F.col("distance"), F.col("_a"), F.col("_b"), gain))
+    best = Window.partitionBy(id, "pos").orderBy(F.desc("score"), "distance", "base_rank", "term")
+    ranked = rows.withColumns({"_r": F.row_number().over(best), "_next": F.lead("score").over(best)}).where("_r = 1")
+    lead = F.col("score") - F.coalesce("_next", F.lit(-999.0))
+    stays = F.coalesce(guarded(F.col("token"), F.col("term"), F.col("_a"), F.col("_b")) & F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.lit(False))
+    use = (F.col("score") >= least) & (lead >= margin) & ~spelling.plural_drop(F.col("token"), F.col("term")) & ~stays & ~F.col("blocked")
+    per = ranked.groupBy(id).agg(
+        F.count(F.lit(1)).alias("generated"), F.count_if(use).alias("applied"), F.count_if(~use).alias("not_applied"), F.count_if(lead < margin).alias("ambiguous"),
+        F.array_sort(F.collect_list(F.when(use, spelling.edit(F.col("start"), F.col("end"), F.col("token"), F.col("term"))))).alias("_edits"),
+    ).withColumnRenamed(id, "_id")
+    out = masked.join(per, F.col(id) == F.col("_id"), "left")
+    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
+    done = spelling.apply_edits(F.col("_text"), F.coalesce("_edits", F.expr(spelling.NONE)), none, 0, True)["text"]
+    return out.select(id, zones.restore(done, F.col("_values")).alias("output"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("generated", "applied", "not_applied", "ambiguous")])

@@ -439,3 +439,10 @@ def lexicon_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = _values(spark, "('тест'), ('*весна*'), ('порусски'), ('щетка'), ('#дом')", "token string")
     terms = _values(spark, "('тёст', 0), ('текст', 1), ('вёсна', 2), ('весло', 3), ('по-русски', 4), ('щётка', 5), ('дом', 6), ('том', 7)", "term string, rank int")
     return lexicon.top_k(tokens, terms)
+
+
+@query("SELECT * FROM (VALUES (1, 'белая корова и молоко', CAST(2 AS BIGINT)), (2, 'корова', CAST(1 AS BIGINT)), (3, '(карова)', CAST(0 AS BIGINT))) AS t(case_id, output, applied)")
+def heuristic_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = _values(spark, "(1, 'белая карова и моолоко'), (2, 'корава'), (3, '(карова)')", "case_id int, text string")
+    terms = _values(spark, "('корова', 0), ('молоко', 1), ('короба', 2), ('кот', 3)", "term string, rank int")
+    return rerank.heuristic_replay(cases, terms).select("case_id", "output", "applied")

@@ -128,3 +128,11 @@ def vocabulary(docs: DataFrame, pattern: str, text: str = "text", least: int = 1
 
     terms = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(pattern), F.lit(0))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= least)
     return global_rank(terms, [F.desc("count"), F.asc("term")])
+
+
+def model_file(spark: SparkSession, source: str) -> tuple[str, str]:
+    """A key for a model's source (its SHA-256) and the name under which ``SparkFiles`` finds the file on every executor."""
+    import hashlib
+
+    spark.sparkContext.addFile(source)
+    return hashlib.sha256(source.encode()).hexdigest(), Path(source).name

@@ -36,3 +36,15 @@ def arpa(lines: DataFrame, unigrams: int, bigrams: int, path: str) -> None:
     fixed = spark.createDataFrame(head, "section int, place int, line string")
     body = lines.select("section", F.lit(0).alias("place"), "line")
     fixed.unionByName(body).orderBy("section", "place", "line").select("line").write.text(path)
+
+
+def reused(df: DataFrame, path: str, least: int) -> DataFrame:
+    """What is stored at ``path`` if it has ``least`` rows at least; else ``df``, stored there."""
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        held = spark.read.parquet(path)
+        if held.count() >= least:
+            return held
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -232,3 +232,17 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).select("id", "clean_text")
     want = clean(rows).select("id", "clean_text")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_heuristic_replay(spark, tmp_path):
+    terms = spark.createDataFrame([("корова", 0), ("молоко", 1), ("короба", 2), ("кот", 3)], "term string, rank int")
+    rows = [(1, "белая карова и моолоко https://x.org/карова кошка"), (2, "корава"), (3, None), (4, "(карова) #карова"), (5, "a@b.org карова")]
+    got = {r["id"]: r for r in rerank.heuristic_replay(spark.createDataFrame(rows, "id int, text string"), terms, id="id").collect()}
+    assert got[1]["output"] == "белая корова и молоко https://x.org/карова кошка" and (got[1]["generated"], got[1]["applied"]) == (2, 2)
+    assert got[2]["output"] == "корова" and got[3]["output"] == "" and got[3]["generated"] == 0
+    assert got[4]["output"] == "(карова) #карова" and got[5]["output"] == "a@b.org корова"
+    morph_rows = spark.createDataFrame([("карова", "PREP", "x", None, True, 0.1), ("корова", "NOUN", "y", ["sing", "nomn"], True, 0.9)], "form string, pos string, lemma string, grammemes array<string>, is_known boolean, score double")
+    kept = {r["id"]: r for r in rerank.heuristic_replay(spark.createDataFrame(rows[:1], "id int, text string"), terms, morph_rows, id="id").collect()}
+    assert "карова и молоко" in kept[1]["output"] and kept[1]["not_applied"] == 1
+    stored = sinks.reused(terms, str(tmp_path / "held"), 4)
+    assert stored.count() == 4 and sinks.reused(terms.limit(1), str(tmp_path / "held"), 4).count() == 4
