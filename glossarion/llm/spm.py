@@ -18,6 +18,8 @@ from .packing import pack_ids, unpack_ids
 SPACE = "▁"
 #: Encoded units (runs of spaces with the word after them) that a task remembers at a time.
 REMEMBERED = 600_000
+#: Units of at most so many characters are remembered, and the search states of their first characters.
+SHORT, HEAD = 64, 7
 
 
 class Model:
@@ -57,6 +59,7 @@ class Model:
         self.usable = {s for s in self.id if not self.bpe or len(s) == 1 or self._merge(s) == [s]}
         self.fits: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.heads: dict[str, list[str | None]] = {}
 
     def _merge(self, s: str) -> list[str]:
         """BPE by its definition, for short strings: join the neighbours of the best score, the leftmost first."""
@@ -78,63 +81,84 @@ class Model:
             ok = self.fits[a, b] = a not in self.id or b not in self.id or self._merge(a + b) == [a, b]
         return ok
 
-    def stream(self, text: str) -> Iterator[int]:
-        """Ids of normalised ``text``, each given out as soon as it is final."""
-        width, endings, usable, fits, ids = self.longest, self.endings, self.usable, self.fits if self.bpe else None, self.id
-        last: list[str | None] = [""]  # the last piece by boundary, from ``done`` on; None: not reachable
-        value = [0.0]  # of unigram ways
-        done, look, n = 0, 4 * width, len(text)
-        for j in range(1, n + 1):
-            best, piece = -np.inf, None
-            found = []
-            i = j - 1
-            while i >= done and (s := text[i:j]) in endings:
-                if s in usable and last[i - done] is not None:
-                    found.append(s)
-                i -= 1
-            if fits is not None:
+    def _fill(self, text: str, last: list[str | None], value: list[float], done: int, to: int) -> None:
+        """Extend ``last`` (the last piece by boundary, from ``done`` on; None: not reachable) and the unigram ``value`` up to ``to``."""
+        endings, usable, fits, apart = self.endings, self.usable, self.fits, self.apart
+        if self.bpe:
+            for j in range(done + len(last), to + 1):
+                found, i, piece = [], j - 1, None
+                while i >= done and (s := text[i:j]) in endings:
+                    if s in usable and last[i - done] is not None:
+                        found.append(s)
+                    i -= 1
                 while found:
                     s = found.pop()
                     before = last[j - len(s) - done]
                     ok = not before or fits.get((before, s))
-                    if ok or (ok is None and self.apart(before, s)):
+                    if ok or (ok is None and apart(before, s)):
                         piece = s
                         break
-            else:
-                for s in found:
-                    v = value[j - len(s) - done] + self.score[ids[s]]
-                    if v > best:
-                        best, piece = v, s
+                last.append(text[j - 1] if piece is None and last[-1] is not None else piece)
+            return
+        for j in range(done + len(last), to + 1):
+            best, piece, i = -np.inf, None, j - 1
+            while i >= done and (s := text[i:j]) in endings:
+                if s in usable and last[i - done] is not None and (v := value[i - done] + self.score[self.id[s]]) > best:
+                    best, piece = v, s
+                i -= 1
             if piece is None and last[-1] is not None:
-                piece = text[j - 1]
-                if fits is None:
-                    best = value[-1] + self.worst
+                best, piece = value[-1] + self.worst, text[j - 1]
             last.append(piece)
-            if fits is None:
-                value.append(best)
-            if j == n or j - done >= look:
-                # boundaries that can still be continued, followed back until they are one
-                alive = {n} if j == n else {i for i in range(max(done, j - width), j + 1) if last[i - done] is not None}
-                while len(alive) > 1:
-                    top = max(alive)
-                    alive.remove(top)
-                    alive.add(top - len(last[top - done]))
-                to = alive.pop()
-                if to == done:
-                    look += 4 * width
-                    continue
-                final, i = [], to
-                while i > done:
-                    final.append(last[i - done])
-                    i -= len(last[i - done])
-                for s in reversed(final):
-                    p = ids.get(s)
-                    if p is None:
-                        yield from self._fallback(s)
-                    else:
-                        yield p
-                last, value, look = last[to - done :], value[to - done :], 4 * width
-                done = to
+            value.append(best)
+
+    def _ids(self, last: list[str | None], size: int) -> list[int]:
+        """Ids of the way to the boundary ``size`` after the first."""
+        out: list[int] = []
+        while size > 0:
+            s = last[size]
+            i = self.id.get(s)
+            if i is None:
+                out += reversed(self._fallback(s))
+            else:
+                out.append(i)
+            size -= len(s)
+        out.reverse()
+        return out
+
+    def stream(self, text: str) -> Iterator[int]:
+        """Ids of normalised ``text``, each given out as soon as it is final."""
+        width, n = self.longest, len(text)
+        last: list[str | None] = [""]
+        value, done, look = [0.0], 0, 4 * width
+        while done < n:
+            at = min(n, done + look)
+            self._fill(text, last, value, done, at)
+            # boundaries that can still be continued, followed back until they are one
+            alive = {n} if at == n else {i for i in range(max(done, at - width), at + 1) if last[i - done] is not None}
+            while len(alive) > 1:
+                top = max(alive)
+                alive.remove(top)
+                alive.add(top - len(last[top - done]))
+            to = alive.pop()
+            if to == done:
+                look += 4 * width
+                continue
+            yield from self._ids(last, to - done)
+            last, value, done, look = last[to - done :], value[to - done :], to, 4 * width
+
+    def _unit(self, unit: str) -> tuple[int, ...]:
+        """Ids of a short unit; what is known of its beginning is used again."""
+        head = unit[:HEAD]
+        start = self.heads.get(head)
+        if start is None:
+            if len(self.heads) >= REMEMBERED:
+                self.heads.clear()
+            start = [""]
+            self._fill(head, start, [0.0], 0, len(head))
+            self.heads[head] = start
+        last = start.copy()
+        self._fill(unit, last, [], 0, len(unit))
+        return tuple(self._ids(last, len(unit)))
 
     def _fallback(self, character: str) -> list[int]:
         return [self.byte[b] for b in character.encode()] if self.bytes else [self.lib.unk_id()]
@@ -150,8 +174,11 @@ class Model:
         for unit in _UNIT.findall(whole):
             ids = known.get(unit)
             if ids is None:
-                ids = tuple(self.stream(unit))
-                if len(unit) <= 64:
+                if len(unit) > SHORT or not self.bpe:
+                    ids = tuple(self.stream(unit))
+                else:
+                    ids = self._unit(unit)
+                if len(unit) <= SHORT:
                     if len(known) >= REMEMBERED:
                         known.clear()
                     known[unit] = ids
