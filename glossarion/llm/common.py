@@ -129,3 +129,14 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def held_out(modulus: int, remainder: int):
     """True where crc32 of the decimal doc_id has that remainder (null: as of the empty text)."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == remainder
+
+
+def bounded_sample(rows: DataFrame, key: str, sample: int) -> DataFrame:
+    """The ``sample`` rows with the least hash of ``key``. Where there are many more, all but about one and a half times as many are
+    filtered out by their hash first, so that tasks don't send ``sample`` rows each to the place where they are ordered.
+    """
+    place = F.shiftrightunsigned(F.xxhash64(key), 1)
+    want, n = int(1.5 * sample + 10 * sample**0.5 + 10), rows.count()
+    if n > want:
+        rows = rows.where(place <= int((2**63 - 1) * (want / n)))
+    return rows.orderBy(place, *rows.columns).limit(sample)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, chunks, prepare, utf8, words
+from .common import LOWER, SPACE, bounded_sample, chunks, prepare, utf8, words
 
 #: The n-gram tables are fitted on so many labelled documents at most, those with the least hash of their id.
 SAMPLE = 20_000
@@ -108,7 +108,7 @@ def _mixture(like: np.ndarray, at: np.ndarray, size: np.ndarray, pi: np.ndarray)
 
 def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model | None:
     """n-gram tables of the languages in at most ``sample`` rows where ``usable`` holds and neither text nor lang is null."""
-    ids = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    ids = bounded_sample(docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")), "_id", sample)
     rows = docs.where(usable & F.col(lang).isNotNull()).select("doc_id", F.col(text).alias("_text"), F.col(lang).alias("_lang")).join(F.broadcast(ids.distinct()), F.col("doc_id") == F.col("_id")).select("_text", "_lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, utf8
+from .common import bounded_sample, prepare, utf8
 from .rules import BASE, MORE, statistics
 
 #: The forest is fitted on so many labelled rows at most, those with the least hash of their id.
@@ -111,7 +111,7 @@ def _stats(docs: DataFrame, text: str, ids: list[str]) -> DataFrame:
 
 def labelled(docs: DataFrame, labels: DataFrame, text: str, sample: int, label: str = "quality") -> DataFrame:
     """At most ``sample`` labelled documents by the hash of their id; the ids that are broadcast are bounded by ``sample``."""
-    some = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).alias("_label")).orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample)
+    some = bounded_sample(labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).alias("_label")), "_id", sample)
     return docs.select("doc_id", text).join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("doc_id", text, F.col("_label").cast("int").alias("_label"))
 
 
