@@ -240,4 +240,6 @@ def _run(rows: DataFrame, percent: int) -> DataFrame:
         found = link(sets, bands, percent, np.array([t["label"][k] for k in order]), left)
         return pa.table({"a": pa.array([rep[i] for i, _ in found], pa.int64()), "b": pa.array([rep[j] for _, j in found], pa.int64())})
 
-    return rows.select("group", "i", "j", "at", "rep", "label", "bands", "hashes").groupBy("group", "i", "j").applyInArrow(task, "a long, b long")
+    # dealt by block pair: the joins before have dealt the rows by group, which would do for the grouping and put all pairs of a group in one task
+    dealt = rows.select("group", "i", "j", "at", "rep", "label", "bands", "hashes").repartition("group", "i", "j")
+    return dealt.groupBy("group", "i", "j").applyInArrow(task, "a long, b long")
