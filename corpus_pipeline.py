@@ -23,8 +23,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
-    return exact_dedup.exact_dedup(docs).where("_kept").select(*COLUMNS)
+    """One row of each text stays: that with the largest id. Rows that share that id, or have none, are merged, within tasks first."""
+    kept = exact_dedup.exact_dedup(docs).where("_kept")
+    several = kept.where("_group_size > 1").groupBy("doc_id", "_sha256", F.coalesce("text", F.lit("")).alias("_t"))
+    one = several.agg(F.min(F.struct("lang", "source", "n_chars")).alias("_rest"), F.count("text").alias("_texts"))
+    one = one.select("doc_id", F.when(F.col("_texts") > 0, F.col("_t")).alias("text"), "_rest.*")
+    return kept.where("_group_size = 1").select(*COLUMNS).unionByName(one).select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,3 +45,16 @@ def test_stages(spark, tmp_path):
 def test_run(spark, tmp_path):
     spark.createDataFrame(helpers.documents()[:60], helpers.DDL).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 40
+
+
+def test_exact_keeps_one_row_of_each_text(spark):
+    """Rows that repeat, and rows without an id, are one document; the kept rows are compared as a multiset."""
+    rows = helpers.documents() + [(None, "only without an id", lang, "u", 1) for lang in ("en", None, "en")] + [(900, "", "en", "u", 0)] + [(901, "ab " * 90, "en", "u", 1)] * 5
+    out = corpus_pipeline.exact(spark, spark.createDataFrame(rows, helpers.DDL).repartition(3), "")
+    assert out.columns == list(corpus_pipeline.COLUMNS)
+    best = {}
+    for i, t, *_ in rows:
+        best[t or ""] = max((x for x in (i, best.get(t or "")) if x is not None), default=None)
+    got = out.collect()
+    assert Counter((r["doc_id"], r["text"] or "") for r in got) == Counter((i, t) for t, i in best.items())
+    assert all(tuple(r) in rows for r in got if r["text"])
