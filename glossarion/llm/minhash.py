@@ -28,9 +28,10 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> list[n
         start, end, first = words(d, o)
         w = span_hash(prefix_hash(d), start, end)
         with np.errstate(over="ignore"):
-            g = np.zeros(max(len(w) - size + 1, 0), np.uint64)
+            many = max(len(w) - size + 1, 0)
+            g = np.zeros(many, np.uint64)
             for i in range(size):
-                g = g * np.uint64(0xD6E8FEB86659FD93) + w[i : len(w) - size + 1 + i]
+                g = g * np.uint64(0xD6E8FEB86659FD93) + w[i : i + many]
             g = mix(g)
             for i in range(b - a):
                 n = first[i + 1] - first[i]

@@ -64,6 +64,17 @@ def test_near(docs, rows, percent, block):
     assert sorted(null, key=str) == sorted([by_set.get(helpers.shingles(rows[5][1])), None], key=str)
 
 
+def test_shingles_of_few_words():
+    """A chunk of few words in all: a table of one document, and one that a long document puts in a chunk of its own."""
+    big = "ab " * 400_000
+    for n in range(7):
+        text = " ".join("abcdefg"[:n])
+        for before in ((), (big,)):
+            data = [t.encode() for t in (*before, text)]
+            got = minhash.shingles(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+            assert [len(x) for x in got] == [len(helpers.shingles(t)) for t in (*before, text)]
+
+
 def test_min_max_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     x = np.unique(rng.integers(0, 2**63, 900, dtype=np.uint64))
