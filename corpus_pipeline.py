@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +18,8 @@ NEAR_PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any language go: null texts and texts without a letter."""
-    model = langid.fit(docs, F.lit(True))
+    """Documents without any language go: null texts and texts without a letter. Where no row has a label, all others are of one language."""
+    model = langid.fit(docs, F.lit(True)) or langid.Model(("any",), np.zeros((langid.CELLS, 1)))
     return langid.identify(docs, model, keep=COLUMNS, with_text=True).where(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
 
 

@@ -58,3 +58,12 @@ def test_exact_keeps_one_row_of_each_text(spark):
     got = out.collect()
     assert Counter((r["doc_id"], r["text"] or "") for r in got) == Counter((i, t) for t, i in best.items())
     assert all(tuple(r) in rows for r in got if r["text"])
+
+
+@pytest.mark.parametrize("labels", ["none", "on null texts", "on null ids"])
+def test_language_stage_without_labels(spark, labels):
+    """Where no language can be learned, all texts with a letter stay."""
+    used = {"none": lambda r: False, "on null texts": lambda r: r[1] is None, "on null ids": lambda r: r[0] is None}[labels]
+    rows = [(i, t, "en" if used((i, t)) else None, s, n) for i, t, _, s, n in helpers.documents()] + [(902, "12 34 _", None, "s", 1), (903, "Это", None, "s", 1)]
+    out = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, helpers.DDL), "")
+    assert Counter(map(tuple, out.collect())) == Counter(r for r in rows if any(c.isalpha() for c in r[1] or ""))
