@@ -33,9 +33,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies, at a similarity of 0.8 of their five-word shingles, the document with the least id stays."""
-    kept = minhash.near_duplicates(docs, NEAR_PERCENT).where("kept").select(F.col("id").alias("_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").select(*COLUMNS)
+    """Of near copies, at a similarity of 0.8 of their five-word shingles, one stays: that with the least id, where any has one."""
+    kept = minhash.near_duplicates(docs, NEAR_PERCENT).where("first").select(F.col("id").alias("_id"), F.col("key").alias("_key"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (minhash.text_key("text") == kept["_key"]), "left_semi").select(*COLUMNS)
 
 
 def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, chunks, mix, prefix_hash, prepare, release, span_hash, stored, utf8, words
@@ -91,7 +91,7 @@ def _fingerprint(x: np.ndarray) -> bytes:
 
 
 def _sketch(docs: DataFrame, text: str, id: str, rows: int, bands: int) -> DataFrame:
-    """id, n (set size), set (its fingerprint; empty for an empty set), bands (empty for an empty set)."""
+    """id, key (hash of the text), n (set size), set (its fingerprint; empty for an empty set), bands (empty for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,9 +100,14 @@ def _sketch(docs: DataFrame, text: str, id: str, rows: int, bands: int) -> DataF
             size = np.array([bands if len(x) else 0 for x in sets], np.int32)
             flat = signatures([sets[i] for i in full], rows, bands).view(np.int64).ravel() if full else np.zeros(0, np.int64)
             hashes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_fingerprint(x) for x in sets], pa.binary()), hashes], names=["id", "n", "set", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([_fingerprint(x) for x in sets], pa.binary()), hashes], names=["id", "key", "n", "set", "bands"])
 
-    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("_text")).mapInArrow(run, "id long, n long, set binary, bands array<long>")
+    return docs.select(F.col(id).cast("long").alias("id"), text_key(text).alias("key"), F.col(text).alias("_text")).mapInArrow(run, "id long, key long, n long, set binary, bands array<long>")
+
+
+def text_key(text: str) -> Column:
+    """What tells rows of one id, or without one, apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -148,37 +153,44 @@ def link(sets: list[np.ndarray], bands: np.ndarray, percent: int, label: np.ndar
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", id: str = "doc_id", rows: int = ROWS, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
-    """id, n_shingles, component_id and kept for every row of ``docs``: documents are linked if 100 times the size of the intersection
-    of their shingle sets is at least ``percent`` times that of the union.
+    """id, n_shingles, component_id, kept, key (``text_key``) and first for every row of ``docs``: documents are linked if 100 times the
+    size of the intersection of their shingle sets is at least ``percent`` times that of the union.
 
     1. One pass makes each document's set, its fingerprint and its band hashes from min-max signatures; texts are not kept.
-    2. Documents of one set are one class, named by its least id. Classes that share a band are candidates, and connected
+    2. Documents of one set are one class, with or without ids, and numbered. Classes that share a band are candidates, and connected
        candidates form a group (components over links from each class to the least class of its band, never all pairs).
     3. Sets of classes in groups are made again. A group of up to ``block`` classes is linked in one task; a larger one is cut into
        blocks; each is linked in a task, alone and with the next, and then all pairs of blocks that hold classes still apart. A task
        compares full sets, and only of classes that are still apart. So no candidate is dropped however large its group is.
-    4. Links give components.
+    4. Links give components, each named by its least id.
 
-    Null texts and texts without words have the empty set, and each is a component of its own. A row with a null id takes the component of
-    its set's class, or null. Rows that repeat belong to one class. An empty table gives an empty result. Other columns are not read.
+    The first row of a component has its least id, which any id is before null, and then the least key; only rows that repeat it are first
+    as well. ``kept`` have all rows of the least id, and of a component without ids the first. Null texts and texts without words have the
+    empty set, and each is a component of its own. A component of null ids only has the id null. Rows that repeat belong to one class. An
+    empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     prepare(spark)
     sketch = stored(_sketch(docs, text, id, rows, bands))
-    classes = sketch.where("n > 0 and id is not null").groupBy("set").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("n").alias("n"))
-    classes = stored(classes)
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    classes = sketch.where("n > 0").groupBy("set").agg(F.min(place).alias("first"), F.first("bands").alias("bands"))
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()))
     band_rows = classes.select("rep", F.explode("bands").alias("band"))
     least = band_rows.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select(F.col("band").alias("b"), "low")
     star = stored(band_rows.join(least, F.col("band") == F.col("b")).where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct())
     release(spark)
     groups = components(star).select(F.col("node").alias("rep"), F.col("component").alias("group"))
-    members = stored(groups.join(classes.select("rep", "set", "bands"), "rep"))
+    members = stored(groups.join(classes.select("rep", "set", "bands", "first.id", "first.key"), "rep"))
     release(spark)
-    linked = _linked(_with_sets(docs, members, text, id), percent, block)
-    named = classes.select("set", "rep").join(linked, "rep", "left").select(F.col("set").alias("_set"), F.coalesce("component", "rep").alias("_component"))
+    linked = _linked(_with_sets(docs, members, text, id), percent, block).join(classes.select("rep", "first"), "rep")
+    least = linked.groupBy("component").agg(F.min("first").alias("_least"))
+    linked = linked.join(least, "component").select("rep", "_least")
+    named = classes.select("set", "rep", "first").join(linked, "rep", "left").select(F.col("set").alias("_set"), F.coalesce("_least", "first").alias("_first"))
     release(spark)
+    first = F.coalesce("_first", place)
+    same_id, same_key = F.col("id").eqNullSafe(first["id"]), F.col("key") == first["key"]
     return sketch.join(stored(named), F.col("set") == F.col("_set"), "left").select(
-        "id", F.col("n").alias("n_shingles"), F.coalesce("_component", "id").alias("component_id"), F.col("id").eqNullSafe(F.coalesce("_component", "id")).alias("kept")
+        "id", F.col("n").alias("n_shingles"), first["id"].alias("component_id"), (same_id & (F.col("id").isNotNull() | same_key)).alias("kept"), "key", (same_id & same_key).alias("first")
     )
 
 
@@ -186,16 +198,18 @@ def _with_sets(docs: DataFrame, members: DataFrame, text: str, id: str) -> DataF
     """``members`` with their shingle sets (packed hashes), made from the texts again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             sets = shingles(*utf8(batch, "_text"))
-            want = batch.column(1).to_pylist()
-            # a doc_id that repeats with another text is not the one that was asked for
-            keep = [i for i, x in enumerate(sets) if _fingerprint(x) == want[i]]
+            rep, want = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            # another text of the same hash is not the one that was asked for, and of rows that repeat one will do
+            keep = [i for i, x in enumerate(sets) if rep[i] not in seen and _fingerprint(x) == want[i] and not seen.add(rep[i])]
             take = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([take.column(0), take.column(2), take.column(3), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["rep", "group", "bands", "hashes"])
 
-    asked = members.select(F.col("rep").alias("_rep"), "set", "group", "bands")
-    rows = docs.select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_text")).join(asked.hint("shuffle_hash"), F.col("_id") == F.col("_rep")).select("_rep", "set", "group", "bands", "_text")
+    asked = members.select(F.col("rep").alias("_rep"), "set", "group", "bands", F.col("id").alias("_of"), F.col("key").alias("_asked"))
+    rows = docs.select(F.col(id).cast("long").alias("_id"), text_key(text).alias("_key"), F.col(text).alias("_text"))
+    rows = rows.join(asked.hint("shuffle_hash"), (F.col("_key") == F.col("_asked")) & F.col("_id").eqNullSafe(F.col("_of"))).select("_rep", "set", "group", "bands", "_text")
     return rows.mapInArrow(run, "rep long, group long, bands array<long>, hashes binary")
 
 

@@ -1,9 +1,12 @@
 """The stages of the pipeline, each against brute force on its own input."""
 
+import random
 from collections import Counter
 
 import pytest
 
+from glossarion.llm import minhash
+
 from . import helpers
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -67,3 +70,28 @@ def test_language_stage_without_labels(spark, labels):
     rows = [(i, t, "en" if used((i, t)) else None, s, n) for i, t, _, s, n in helpers.documents()] + [(902, "12 34 _", None, "s", 1), (903, "Это", None, "s", 1)]
     out = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, helpers.DDL), "")
     assert Counter(map(tuple, out.collect())) == Counter(r for r in rows if any(c.isalpha() for c in r[1] or ""))
+
+
+def test_near_links_rows_without_ids(spark):
+    """One row stays of each component of near copies, whether all, some or none of its rows have an id."""
+    rng, rows = random.Random(8), []
+    for c in range(30):
+        base = helpers.words(rng, 120).split()
+        for k in range(4):
+            base[rng.randrange(120)] = f"y{c}-{k}"
+            rows.append((None if c % 3 == 0 or (c % 3 == 1 and k < 2) else 10 * c + k, " ".join(base), "en", "s", 1))
+    rows += [(None, "ab cd", "en", "s", 1), (None, "AB  cd", "en", "s", 1), (None, "of its own", "en", "s", 1), (20, "another text of this id, which is alone", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, helpers.DDL).repartition(5)
+    sets = [helpers.shingles(t) for _, t, *_ in rows]
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    parts = {}
+    for n, c in helpers.components(pairs, range(len(rows))).items():
+        parts.setdefault(c, []).append(n)
+    least = {n: min((rows[m][0] for m in p if rows[m][0] is not None), default=None) for p in parts.values() for n in p}
+    got = minhash.near_duplicates(docs, 80).collect()
+    assert Counter((r["id"], r["component_id"]) for r in got) == Counter((rows[n][0], least[n]) for n in least)
+    assert sum(r["kept"] for r in got) == len(parts) == 33
+    at = {tuple(r): n for n, r in enumerate(rows)}
+    kept = [at[tuple(r)] for r in corpus_pipeline.near(spark, docs, "").collect()]
+    assert all(len(set(p) & set(kept)) == 1 for p in parts.values()) and len(kept) == len(parts)
+    assert all(rows[n][0] == least[n] for n in kept)
