@@ -21,28 +21,33 @@ END_ID = 1
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Callable[[str], np.ndarray]:
-    """Text to ids of a tokenizer file of the library ``tokenizers``, special tokens' strings being ordinary text.
+def encoder(path: str, special: bool = False) -> Callable[[str], np.ndarray]:
+    """Text to ids of a tokenizer file of the library ``tokenizers``. ``special``: strings of special tokens in the text are these tokens,
+    as in the library's own ``encode(text, add_special_tokens=False)``; otherwise they are ordinary text.
 
     A byte-level BPE whose merges make the ids in order is run by tiktoken, which merges by id and gives the same ids some four times
-    as fast; any other file is run by ``tokenizers`` itself.
+    as fast; any other file, and with ``special`` any text that holds a token added to the file, is run by ``tokenizers`` itself.
     """
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
+    whole.encode_special_tokens = not special
 
     def plain(text: str) -> np.ndarray:
         return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    ranks, pattern = _ranks(json.loads(open(path, encoding="utf-8").read()))
+    spec = json.loads(open(path, encoding="utf-8").read())
+    ranks, pattern = _ranks(spec)
     if ranks is None:
         return plain
     import tiktoken
 
+    added = [t["content"] for t in spec.get("added_tokens") or [] if special or not t.get("special")]
     fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
+        if any(t in text for t in added):
+            return plain(text)
         try:
             return np.asarray(fast.encode_ordinary(text), np.uint32)
         except Exception:  # its pattern engine gives up on some very long runs
@@ -78,11 +83,11 @@ def unpack_ids(blob: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u4" if blob[0] == 4 else "<u2").astype("<u4")
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID, text: str = "text", id: str = "doc_id") -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID, text: str = "text", id: str = "doc_id", special: bool = False) -> DataFrame:
     """First pass: doc_id, ids (packed), n, and the document's place: part (its partition) and before (ids before it there)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, before = encoder(tokenizer, special), TaskContext.get().partitionId(), 0
         for batch in batches:
             data, offsets = utf8(batch, "_text")
             blobs, n, at = [], [], []
@@ -97,7 +102,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID, text: str =
     return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, "doc_id long, ids binary, n long, part int, before long")
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, text: str = "text", id: str = "doc_id") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, text: str = "text", id: str = "doc_id", special: bool = False) -> DataFrame:
     """Pieces of documents in sequences of ``length`` ids: doc_id, start, length, piece (packed ids), ids_crc32, doc_tokens,
     sequence_id, offset.
 
@@ -105,10 +110,10 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
     row for each partition) gives every document its global offset. Pass 2 cuts at the multiples of ``length``: a document that
     crosses a border leaves a record on either side. Only the last sequence is not full. Documents stand in the table's own order;
     null and empty texts are the end id alone; rows that repeat and null ids are packed like any other; an empty table gives no piece.
-    Other columns are not read.
+    Other columns are not read. ``special``: see ``encoder``.
     """
     prepare(docs.sparkSession)
-    done = stored(tokenized(docs, tokenizer, end_id, text, id))
+    done = stored(tokenized(docs, tokenizer, end_id, text, id, special))
     totals = done.groupBy("part").agg(F.sum("n").alias("_total"))
     w = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("part", F.coalesce(F.sum("_total").over(w), F.lit(0)).alias("_base"))

@@ -23,7 +23,7 @@ def _tokenizer(name: str) -> str:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
+    pieces = packing.pack(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), special=True)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -51,6 +51,32 @@ def test_other_tokenizers_run_as_they_are():
     assert ids.tolist() == lib.encode("Hello there <|endoftext|>", add_special_tokens=False).ids
 
 
+SPECIAL = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b", "<|endoftext| >", "<|padding|>", "no token", "", " \t" * 50 + "<|endoftext|>" + "é" * 50]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_special_tokens_in_texts_are_the_librarys(name):
+    """Against the library as it is loaded."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    lib, encode = Tokenizer.from_file(path), packing.encoder(path, special=True)
+    texts = SPECIAL + [f"x {t.content} y{t.content}" for t in lib.get_added_tokens_decoder().values()]
+    assert [encode(t).tolist() for t in texts] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_packing_query_has_the_librarys_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from glossarion.llm import queries
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(SPECIAL)], helpers.DDL).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in queries.op1_packing(spark, str(tmp_path)).collect()}
+    want = [np.array(lib.encode(t, add_special_tokens=False).ids + [1], np.uint32) for t in SPECIAL]
+    assert got == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(want)}
+
+
 def test_pack_ids():
     for ids in ([], [1], [0, 65535, 70000], list(range(5000))):
         assert packing.unpack_ids(packing.pack_ids(np.array(ids, np.uint32))).tolist() == ids
