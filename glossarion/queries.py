@@ -281,6 +281,27 @@ def unigram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.train(_read(spark, sf_dir, "conversations"))[0].select("w", "n", F.round("logp", 6).alias("logp"))
 
 
+_DOCUMENT_LM = _LM.replace("conv_id, turn", "doc_id").replace("conversations", "documents")
+
+
+@query(f"{_DOCUMENT_LM} SELECT l, r, n FROM g")
+def document_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``bigrams``, over the documents."""
+    return ngrams.bigram_counts(_read(spark, sf_dir, "documents")).select("l", "r", "n")
+
+
+@query(f"{_DOCUMENT_LM} SELECT w, n, round(logp, 6) AS logp FROM uni")
+def document_unigram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``unigram_model``, trained on the documents."""
+    return ngrams.train(_read(spark, sf_dir, "documents"))[0].select("w", "n", F.round("logp", 6).alias("logp"))
+
+
+@query(f"{_DOCUMENT_LM} SELECT l, r, round(logp, 6) AS logp FROM bi")
+def document_bigram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smoothed probabilities of the documents' word pairs."""
+    return ngrams.train(_read(spark, sf_dir, "documents"))[1].select("l", "r", F.round("logp", 6).alias("logp"))
+
+
 @query(f"{_LM} SELECT conv_id, turn, round(sum(bi.logp), 4) AS score FROM rows JOIN bi ON p[1] = bi.l AND p[2] = bi.r GROUP BY conv_id, turn")
 def sentence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores under the model that the same sentences train, so that every pair has been seen."""

@@ -3,6 +3,7 @@
 import itertools
 import json
 import math
+import re
 from collections import Counter
 
 import pytest
@@ -246,3 +247,20 @@ def test_heuristic_replay(spark, tmp_path):
     assert "карова и молоко" in kept[1]["output"] and kept[1]["not_applied"] == 1
     stored = sinks.reused(terms, str(tmp_path / "held"), 4)
     assert stored.count() == 4 and sinks.reused(terms.limit(1), str(tmp_path / "held"), 4).count() == 4
+
+
+def test_the_language_model_of_documents(spark, tmp_path):
+    """Counts and smoothed probabilities of all documents against plain Python."""
+    from glossarion import queries
+
+    texts = ["Müller sah die Tür, die Tür.", "well-known words - and WELL", "", None, " .. ", "die Tür", "日本 x_1"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    chains = [["<s>", *w, "</s>"] for w in (re.findall(r"\w(?:[\w-]*\w)?", (t or "").lower()) for t in texts) if w]
+    uni, bi = Counter(w for c in chains for w in c), Counter(p for c in chains for p in itertools.pairwise(c))
+    left = Counter(c for p in bi.elements() for c in p[:1])
+    v, t = len(uni) + 1, sum(uni.values())
+    assert {(r["l"], r["r"]): r["n"] for r in queries.document_bigrams(spark, str(tmp_path)).collect()} == bi
+    got = {r["w"]: (r["n"], r["logp"]) for r in queries.document_unigram_model(spark, str(tmp_path)).collect()}
+    assert got == {w: (uni[w], pytest.approx(math.log10((uni[w] + 1) / (t + v)), abs=2e-6)) for w in [*uni, "<unk>"]}
+    got = {(r["l"], r["r"]): r["logp"] for r in queries.document_bigram_model(spark, str(tmp_path)).collect()}
+    assert got == {p: pytest.approx(math.log10((n + 1) / (left[p[0]] + v)), abs=2e-6) for p, n in bi.items()}
