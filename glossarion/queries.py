@@ -245,6 +245,36 @@ def best_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.where("r = 1").select("token", "term", "distance", F.coalesce("tie", F.lit(False)).alias("ambiguous"))
 
 
+#: Whole words of all scripts, with the marks that follow letters.
+_WHOLE = rf"[{regex.WORD}\p{{M}}]+"
+
+
+@query(r"""WITH t AS (SELECT w AS term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_\p{M}]+')) AS w FROM documents) GROUP BY w)
+SELECT term, n, row_number() OVER (ORDER BY n DESC, term) - 1 AS rank FROM t""")
+def word_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``ranked_vocabulary``, of whole words."""
+    return vocabulary(_read(spark, sf_dir, "documents"), _WHOLE).select("term", F.col("count").alias("n"), "rank")
+
+
+def _near_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = vocabulary(_read(spark, sf_dir, "documents"), _WHOLE)
+    return candidates.within(terms.select(F.col("term").alias("token")), terms, 1)
+
+
+@query()
+def near_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``near_terms``, of whole words and with all of them as the dictionary; DuckDB's edit distance counts bytes."""
+    return _near_words(spark, sf_dir).select("token", "term", "rank", "distance")
+
+
+@query()
+def best_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best other word for each word: all are in the dictionary, so each would be its own best candidate. All are at one edit."""
+    other = _near_words(spark, sf_dir).where("distance > 0")
+    best = other.groupBy("token").agg(F.min(F.struct("distance", "rank", "term")).alias("b"), F.count(F.lit(1)).alias("n"))
+    return best.select("token", "b.term", "b.distance", (F.col("n") > 1).alias("ambiguous"))
+
+
 @query()
 def indel_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = _values(spark, "('привт'), ('малоко'), ('карова'), ('превет')", "token string")

@@ -264,3 +264,21 @@ def test_the_language_model_of_documents(spark, tmp_path):
     assert got == {w: (uni[w], pytest.approx(math.log10((uni[w] + 1) / (t + v)), abs=2e-6)) for w in [*uni, "<unk>"]}
     got = {(r["l"], r["r"]): r["logp"] for r in queries.document_bigram_model(spark, str(tmp_path)).collect()}
     assert got == {p: pytest.approx(math.log10((n + 1) / (left[p[0]] + v)), abs=2e-6) for p, n in bi.items()}
+
+
+def test_words_of_all_scripts_and_counts(spark, tmp_path):
+    """Whole words with any letters, and a dictionary with rare words, against plain Python."""
+    from glossarion import queries
+
+    texts = ["Müller mahlt, Muller und Mülelr nicht", "für fur fü", "niño nino nin\u0303o", None, "Straße strasse x_1 x_2", "молоко молока", "für Müller"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    n = Counter(w for t in texts for w in re.findall(r"[\w\u0303]+", (t or "").lower()))
+    rank = {w: i for i, w in enumerate(sorted(n, key=lambda w: (-n[w], w.encode())))}
+    assert {(r["term"], r["n"], r["rank"]) for r in queries.word_vocabulary(spark, str(tmp_path)).collect()} == {(w, n[w], rank[w]) for w in n}
+    near = {(a, b): osa(a, b) for a in n for b in n if osa(a, b) <= 1}
+    assert {(r["token"], r["term"]): (r["rank"], r["distance"]) for r in queries.near_words(spark, str(tmp_path)).collect()} == {p: (rank[p[1]], d) for p, d in near.items()}
+    best = {}
+    for a, b in near:
+        if a != b:
+            best.setdefault(a, []).append((rank[b], b))
+    assert {r["token"]: (r["term"], r["distance"], r["ambiguous"]) for r in queries.best_words(spark, str(tmp_path)).collect()} == {a: (min(x)[1], 1, len(x) > 1) for a, x in best.items()}
