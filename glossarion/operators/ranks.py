@@ -4,15 +4,29 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, or the one that was set since. Where there is neither, a session in a single process, as in
+    tests, gets a temporary folder; on a cluster that would be on each machine's own disk, so there it is an error.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(folder)
+        return folder
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="glossarion-"))
+    return context.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` stored in the cluster's checkpoint folder; tests, which name none, get one of their own."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="glossarion-"))
+    """``df`` stored in the checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
