@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gc
-import tempfile
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranks import checkpoint_folder
+
 #: ASCII white space that separates words: 0x20 and 0x09 to 0x0D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -20,31 +22,35 @@ LOWER[65:91] += 32
 
 #: Texts are handled in runs of whole documents of about so many bytes, which bounds the arrays made from them.
 CHUNK_BYTES = 1 << 20
-
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
+#: Longer spans are hashed by a digest, shorter ones eight bytes at a time.
+LONG_SPAN = 64
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, and set a checkpoint folder where the cluster names none (tests)."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="glossarion-checkpoint-"))
+    """What every operator needs: a checkpoint folder (see ``checkpoint_folder``), and Arrow batches bounded by bytes, as ten thousand
+    long texts are too many for one. Spark reads that limit when a plan runs, so it is set for the session, unless the session has its own.
+    """
+    checkpoint_folder(spark)
+    if ARROW_BYTES not in spark.conf.getAll:
+        spark.conf.set(ARROW_BYTES, str(8 << 20))
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder: later reads survive lost executors and repeat no work."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs whose DataFrames are no longer referenced."""
+    """Ask the driver to forget DataFrames that nothing refers to, upon which Spark deletes their shuffle files and checkpoints; results
+    don't depend on it."""
     gc.collect()
     spark._jvm.System.gc()
 
@@ -71,19 +77,6 @@ def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int,
         a = min(b, n)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, modulo 2**64."""
-    global _powers, _inverse
-    if len(_powers) < n:
-        m = 1 << max(n - 1, 1).bit_length()
-        with np.errstate(over="ignore"):
-            for name, base in (("_powers", _BASE), ("_inverse", _BASE_INV)):
-                x = np.full(m, np.uint64(base & (2**64 - 1)))
-                x[0] = 1
-                globals()[name] = np.cumprod(x, dtype=np.uint64)
-    return _powers[:n], _inverse[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (the finaliser of splitmix64)."""
     with np.errstate(over="ignore"):
@@ -95,21 +88,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """S with S[j] - S[i] the polynomial hash of data[i:j] times base**i."""
-    p, _ = powers(len(data) + 1)
-    s = np.empty(len(data) + 1, np.uint64)
-    s[0] = 0
-    with np.errstate(over="ignore"):
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=s[1:])
-    return s
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on (and from the end) as little-endian integers; zeros follow the data."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))
+
 
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans [start, end) of ``data``; equal bytes have equal hashes wherever they stand.
 
-def span_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Mixed hashes of the spans [start, end); equal bytes have equal hashes wherever they stand."""
-    _, inv = powers(len(s))
+    Eight bytes at a time are mixed in by a bijection that isn't linear, so that no regular family of texts collides, as it does in a
+    polynomial hash. Spans of more than LONG_SPAN bytes take a digest of their bytes.
+    """
+    size, view = end - start, eights(data)
     with np.errstate(over="ignore"):
-        return mix((s[end] - s[start]) * inv[start] + (end - start).astype(np.uint64))
+        out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        live, at = np.flatnonzero(size <= LONG_SPAN), 0
+        while len(live):
+            left = size[live] - at
+            kept = (np.uint64(1) << (np.clip(left, 0, 7).astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+            out[live] = mix(out[live] ^ np.where(left < 8, view[start[live] + at] & kept, view[start[live] + at]))
+            live, at = live[left > 8], at + 8
+    long = np.flatnonzero(size > LONG_SPAN)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        for i, a, b in zip(long.tolist(), start[long].tolist(), end[long].tolist(), strict=True):
+            out[i] = int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little")
+    return out
+
+
+def windows_hash(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each ``size`` neighbours of ``hashes``, in order; none where there are fewer."""
+    many = max(len(hashes) - size + 1, 0)
+    out = np.full(many, np.uint64(size))
+    for i in range(size if many else 0):
+        out = mix(out ^ hashes[i : i + many])
+    return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,6 +141,16 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(start, offsets)
 
 
+def pack_bytes(raw: bytes) -> bytes:
+    """Compressed bytes with their length before them."""
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def unpack_bytes(blob: bytes) -> bytes:
+    n = int.from_bytes(blob[:8], "little")
+    return pa.Codec("zstd").decompress(blob[8:], n, asbytes=True) if n else b""
+
+
 def held_out(modulus: int, remainder: int):
     """True where crc32 of the decimal doc_id has that remainder (null: as of the empty text)."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == remainder

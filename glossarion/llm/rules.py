@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import CHUNK_BYTES, chunks, prefix_hash, mix, span_hash, words
+from .common import CHUNK_BYTES, chunks, mix, span_hash, windows_hash, words
 
 #: Window of repeated words.
 WINDOW = 8
@@ -53,7 +53,6 @@ def _statistics(d: np.ndarray, o: np.ndarray) -> np.ndarray:
     if not len(d):
         return res
     start, end, first = words(d, o)
-    s = prefix_hash(d)
     res[:, 0] = np.diff(first)
     lead = np.zeros(len(d) + 1, np.int64)
     np.cumsum(_LEAD[d], out=lead[1:])
@@ -69,18 +68,15 @@ def _statistics(d: np.ndarray, o: np.ndarray) -> np.ndarray:
     ls, le = ls[has], le[has]
     doc = np.searchsorted(o, ls, "right") - 1
     lines = np.bincount(doc, minlength=n)
-    different = np.bincount(_same(doc, span_hash(s, ls, le))[0], minlength=n)
+    different = np.bincount(_same(doc, span_hash(d, ls, le))[0], minlength=n)
     res[:, 3] = lines - different
     word_doc = np.repeat(np.arange(n), np.diff(first))
-    wh = span_hash(s, start, end)
+    wh = span_hash(d, start, end)
     if len(wh) >= WINDOW:
-        with np.errstate(over="ignore"):
-            g = np.zeros(len(wh) - WINDOW + 1, np.uint64)
-            for i in range(WINDOW):
-                g = g * np.uint64(0xD6E8FEB86659FD93) + wh[i : len(wh) - WINDOW + 1 + i]
+        g = windows_hash(wh, WINDOW)
         at = np.flatnonzero(word_doc[: len(g)] == word_doc[WINDOW - 1 :])
         if len(at):
-            _, count, inverse = _same(word_doc[at], mix(g[at]))
+            _, count, inverse = _same(word_doc[at], g[at])
             again = at[count[inverse] > 1]
             cover = np.zeros(len(wh) + 1, np.int64)
             np.add.at(cover, again, 1)

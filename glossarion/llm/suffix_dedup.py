@@ -3,43 +3,47 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, powers, prefix_hash, prepare, release, stored, utf8
+from .common import bounded_sample, checkpoint_folder, chunks, eights, mix, pack_bytes, prepare, release, stored, unpack_bytes, utf8
 
 #: Length in bytes of the strings that must not stand in two places.
 LENGTH = 200
-#: Depth in bytes to which a suffix array is sorted.
+#: Depth in bytes to which the levels' suffix arrays are sorted.
 DEPTH = 24
 #: Batches in which a table is added to the index family.
 BATCHES = 4
 #: Input bytes for one shard of the index.
 SHARD_BYTES = 16 << 20
+#: Documents, and suffixes of each, from which the borders of the shards are taken: they only decide how even shards are.
+BORDER_DOCUMENTS, BORDER_SUFFIXES = 2000, 64
+#: Ranges of beginnings at most; where more shards are wanted, each range is cut further by hash.
+RANGES = 1024
 #: Suffixes that a task holds before it writes them.
 FLUSH = 1 << 20
 #: Candidate suffixes for one shard of contexts, and the contexts from which a shard is not compared in one task.
 PER_SHARD = 20_000
 CONTEXTS = 50_000
-#: Bytes of one shard's suffixes that one task looks up.
+#: Bytes of one shard's positions that one task looks up.
 LOOKUP_BYTES = 64 << 20
 
-_ZSTD = 1
-
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    raw = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", _ZSTD).compress(raw, asbytes=True)
+    return pack_bytes(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
-def _unpack(blob: bytes) -> bytes:
-    n = int.from_bytes(blob[:8], "little")
-    return pa.Codec("zstd").decompress(blob[8:], n, asbytes=True) if n else b""
+def identity(id: str, text: str) -> list[Column]:
+    """a and b, which tell documents apart: the id, or another hash of the text where there is none, and the text's hash."""
+    value = F.coalesce(F.col(text), F.lit(""))
+    return [F.coalesce(F.col(id).cast("long"), F.xxhash64(F.lit(7), value)).alias("a"), F.xxhash64(F.col(id).isNull(), value).alias("b")]
 
 
 # --- sampled suffixes ---
@@ -57,10 +61,9 @@ def sample(d: np.ndarray, o: np.ndarray, length: int = LENGTH, depth: int = DEPT
     if len(d) < length:
         return none, none, none, none.astype(np.uint64)
     span, m = length - depth + 1, len(d) - depth + 1
-    s = prefix_hash(d)
-    _, inv = powers(m)
-    with np.errstate(over="ignore"):
-        h = mix((s[depth:] - s[:-depth]) * inv)
+    view, h = eights(d), np.zeros(m, np.uint64)
+    for k in range(0, depth, 8):
+        h = mix(h ^ view[k : k + m])
     packed = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(m, dtype=np.uint64)
     rows = -(-m // span)
     grid = np.full(rows * span, np.uint64(2**64 - 1))
@@ -105,113 +108,181 @@ def _sorted(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k[new], np.add.reduceat(n[order], new)
 
 
-ENTRIES = "batch int, part int, shard int, arr binary, docs binary, places binary, n int"
+def _borders(docs: DataFrame, text: str, id: str, shards: int, length: int, depth: int) -> list[int]:
+    """Borders between ranges of beginnings (their first eight bytes), from a bounded sample of documents."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            d, o = utf8(batch, "_text")
+            some = []
+            for a, b in zip(o[:-1].tolist(), o[1:].tolist(), strict=True):
+                at, _, _, h = sample(d[a:b], np.array([0, b - a]), length, depth)
+                some.append(_keys(d[a:b], at[np.argsort(h, kind="stable")[:BORDER_SUFFIXES]], depth)[:, 0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(some).view(np.int64))], names=["key"])
+
+    some = bounded_sample(docs.select(F.col(id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")), "_id", BORDER_DOCUMENTS)
+    keys = np.sort(np.array([r[0] for r in some.select("_text").mapInArrow(run, "key long").collect()], np.int64).view(np.uint64))
+    if not len(keys):
+        return []
+    n = min(shards, RANGES)
+    return np.unique(keys[np.arange(1, n) * len(keys) // n]).tolist()
+
+
+RUNS = "batch int, part int, shard int, arr binary, docs binary, places binary"
 
 
-def suffix_entries(docs: DataFrame, text: str, id: str, shards: int, batches: int, length: int, depth: int) -> DataFrame:
-    """Each task's sorted suffixes by shard: arr (different beginnings and counts), and docs and places (of all suffixes)."""
-    words = depth // 8
+def suffix_runs(docs: DataFrame, text: str, id: str, borders: list[int], subs: int, batches: int, length: int, depth: int) -> DataFrame:
+    """Each task's suffixes by shard, in byte order: arr (different beginnings and counts), and docs and places (of all suffixes)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, size = TaskContext.get().partitionId(), [], 0
         for batch in it:
             data, offsets = utf8(batch, "_text")
-            ids = np.asarray(batch.column(0).fill_null(0)).astype(np.int64)
-            null = np.asarray(batch.column(0).is_null())
-            content = np.asarray(batch.column(1)).astype(np.int64)
+            a_, b_ = (np.asarray(batch.column(i)).astype(np.int64) for i in (0, 1))
             for a, b in chunks(offsets):
                 d, o = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 at, lo, hi, _ = sample(d, o, length, depth)
                 doc = np.searchsorted(o, at, "right") - 1
-                held.append((_keys(d, at, depth), ids[a:b][doc], null[a:b][doc], content[a:b][doc], at - o[doc], at - lo, at - hi))
+                held.append((_keys(d, at, depth), a_[a:b][doc], b_[a:b][doc], at - o[doc], at - lo, at - hi))
                 size += len(at)
             if size >= FLUSH:
-                yield from entries(part, held)
+                yield from runs(part, held)
                 held, size = [], 0
         if size:
-            yield from entries(part, held)
+            yield from runs(part, held)
 
-    def entries(part: int, held: list) -> Iterator[pa.RecordBatch]:
-        keys, doc, null, content, at, far, near = (np.concatenate([h[i] for h in held]) for i in range(7))
-        shard = (_key_hash(keys) % np.uint64(shards)).astype(np.int32)
+    def runs(part: int, held: list) -> Iterator[pa.RecordBatch]:
+        keys, a, b, at, far, near = (np.concatenate([h[i] for h in held]) for i in range(6))
+        shard = np.searchsorted(np.array(borders, np.uint64), keys[:, 0], "right").astype(np.int32) * np.int32(subs)
+        if subs > 1:
+            shard += (_key_hash(keys) % np.uint64(subs)).astype(np.int32)
         order = np.lexsort((*keys.T[::-1], shard))
-        cut = np.searchsorted(shard[order], np.arange(shards + 1))
+        cut = np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) != 0, [True]]))
         rows = []
-        for k in np.flatnonzero(np.diff(cut)):
-            own = order[cut[k] : cut[k + 1]]
+        for x, y in zip(cut[:-1], cut[1:], strict=True):
+            own = order[x:y]
             different, n = _sorted(keys[own], np.ones(len(own), np.int64))
-            _, first, which = np.unique(np.stack([doc[own], content[own], null[own]], 1), axis=0, return_index=True, return_inverse=True)
+            _, first, which = np.unique(np.stack([a[own], b[own]], 1), axis=0, return_index=True, return_inverse=True)
             some = own[first]
-            rows.append((part % batches, part, int(k), _pack(different.T, n), _pack(doc[some], content[some], null[some]), _pack(np.repeat(np.arange(len(different)), n).astype(np.int32), which.ravel().astype(np.int32), at[own].astype(np.int64), far[own].astype(np.int16), near[own].astype(np.int16)), len(own)))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32()), strict=True)], names=["batch", "part", "shard", "arr", "docs", "places", "n"])
+            rows.append((part % batches, part, int(shard[own[0]]), _pack(different.T, n), _pack(a[some], b[some]), _pack(np.repeat(np.arange(len(different)), n).astype(np.int32), which.ravel().astype(np.int32), at[own].astype(np.int64), far[own].astype(np.int16), near[own].astype(np.int16))))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["batch", "part", "shard", "arr", "docs", "places"])
 
-    assert depth % 8 == 0 and words
-    value = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(id).cast("long").alias("_id"), F.xxhash64(value).alias("_content"), value.alias("_text")).mapInArrow(run, ENTRIES)
+    return docs.select(*identity(id, text), F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(run, RUNS)
 
 
 def _array(blob: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(_unpack(blob), np.uint64)
+    raw = np.frombuffer(unpack_bytes(blob), np.uint64)
     n = len(raw) // (words + 1)
     return raw[: n * words].reshape(words, n).T, raw[n * words :].view(np.int64)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class IndexFamily:
-    """Suffix arrays of 1, 2, 4, ... batches, each a stored table with a sorted array for each shard.
+    """Sparse suffix arrays of 1, 2, 4, ... batches in a folder that all executors share; a later session opens it and adds to it.
 
-    ``add`` sorts a new batch, scans it against every level for suffixes that begin alike in both, and merges it with levels of its own
-    size, as a binary counter carries. So a suffix is merged about log2(batches) times, however many batches come.
+    A level is cut into shards by ranges of the suffixes' beginnings (and by hash, where there are more shards than ranges). In a shard it
+    has the array of its different beginnings in byte order, and runs of positions in the same order: documents, places, and the
+    windows that each suffix stands for. ``add`` merges a new batch's beginnings, scans them against every level in byte order for
+    beginnings that stand there too, notes these, and merges levels of equal size, as a binary counter carries. So a beginning is
+    rewritten about log2(batches) times, however many batches come; runs go over to the new level as they are.
     """
 
-    def __init__(self, depth: int = DEPTH):
-        self.words = depth // 8
-        self.levels: dict[int, DataFrame] = {}
-        self.found: DataFrame | None = None
-
-    def add(self, entries: DataFrame) -> None:
-        """``entries``: rows (shard, arr) of the batch."""
-        words = self.words
+    def __init__(self, spark: SparkSession, folder: str, length: int = LENGTH, depth: int = DEPTH):
+        assert depth % 8 == 0 and depth <= length < 1 << 15
+        self.spark, self.folder, self.words = spark, folder, depth // 8
+        #: levels: number to (array's path, runs); runs and found: (path, batch in it)
+        self.state = {"version": 0, "length": length, "depth": depth, "borders": None, "subs": 1, "levels": {}, "found": []}
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest")
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            newest = spark.read.schema("version int, state string").parquet(f"{folder}/manifest").orderBy(F.desc("version")).first()
+            self.state = json.loads(newest["state"])
+
+    def add_documents(self, docs: DataFrame, text: str = "text", id: str = "doc_id", batches: int = 1) -> None:
+        """Add a table, in so many batches of its partitions. Its suffixes are sampled and sorted in one pass."""
+        s = self.state
+        if s["borders"] is None:  # the first table decides the shards
+            total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+            shards = int(max(total // SHARD_BYTES, 8))
+            s["borders"] = _borders(docs, text, id, shards, s["length"], s["depth"])
+            s["subs"] = -(-shards // RANGES)
+        path = f"{self.folder}/runs-{uuid.uuid4().hex}"
+        suffix_runs(docs, text, id, s["borders"], s["subs"], batches, s["length"], s["depth"]).write.parquet(path)
+        for k in range(batches):
+            self.add(path, k)
+
+    def _runs(self, runs: list) -> DataFrame:
+        out = None
+        for path, batch in runs:
+            one = self.spark.read.schema(RUNS).parquet(path).where(F.col("batch") == batch)
+            out = one if out is None else out.union(one)
+        return out
+
+    def runs(self) -> DataFrame:
+        """The positions of all levels."""
+        return self._runs([r for _, runs in self.state["levels"].values() for r in runs])
+
+    def found(self) -> DataFrame:
+        """Beginnings (hashed) that stand in two places: shard, arr."""
+        out = self.spark.read.schema("shard int, found boolean, arr binary").parquet(*self.state["found"])
+        return out.where("found").select("shard", "arr")
+
+    def add(self, path: str, batch: int) -> None:
+        """Add one batch of the runs in ``path``."""
+        words, s = self.words, self.state
+        levels = {int(k): v for k, v in s["levels"].items()}
         carry = 0
-        while carry in self.levels:
+        while carry in levels:
             carry += 1
-        whole = entries.select("shard", "arr", F.lit(-1).alias("level"))
-        for k, level in self.levels.items():
-            whole = whole.union(level.select("shard", "arr", F.lit(k).alias("level")))
+        whole = self._runs([(path, batch)]).select("shard", "arr", F.lit(-1).alias("level"))
+        for k, (array, _) in levels.items():
+            whole = whole.union(self.spark.read.schema("shard int, found boolean, arr binary").parquet(array).where("not found").select("shard", "arr", F.lit(k).alias("level")))
 
         def scan(table: pa.Table) -> pa.Table:
             shard, rows = table["shard"][0].as_py(), list(zip(table["level"].to_pylist(), table["arr"].to_pylist(), strict=True))
+            none = np.zeros((0, words), np.uint64)
             new = [_array(b, words) for k, b in rows if k < 0]
-            old = {k: _array(b, words) for k, b in rows if k >= 0}
-            merged = _sorted(np.concatenate([x for x, _ in new]), np.concatenate([n for _, n in new])) if new else (np.zeros((0, words), np.uint64), np.zeros(0, np.int64))
-            all_keys, total = _sorted(np.concatenate([merged[0], *(x for x, _ in old.values())]), np.concatenate([merged[1], *(n for _, n in old.values())]))
-            again = all_keys[total > 1]
-            carried = [merged, *(x for k, x in old.items() if k < carry)]
-            level = _sorted(np.concatenate([x for x, _ in carried]), np.concatenate([n for _, n in carried]))
-            return pa.table({"shard": pa.array([shard] * 2, pa.int32()), "found": [False, True], "arr": pa.array([_pack(level[0].T, level[1]), _pack(_key_hash(again))], pa.binary())})
-
-        out = stored(whole.groupBy("shard").applyInArrow(scan, "shard int, found boolean, arr binary"))
+            old = [(k, np.frombuffer(unpack_bytes(b), np.uint64).reshape(words, -1).T) for k, b in rows if k >= 0]
+            own, n = _sorted(np.concatenate([none, *(x for x, _ in new)]), np.concatenate([np.zeros(0, np.int64), *(m for _, m in new)]))
+            # one scan over the new beginnings and all levels': low bits count new suffixes, high bits levels
+            every, count = _sorted(np.concatenate([own, *(x for _, x in old)]), np.concatenate([n, *(np.full(len(x), 1 << 40) for _, x in old)]))
+            fresh = count & ((1 << 40) - 1)
+            again = every[(fresh > 1) | ((fresh > 0) & (count >= 1 << 40))]
+            merged = np.concatenate([own, *(x for k, x in old if k < carry)])
+            level, _ = _sorted(merged, np.ones(len(merged), np.int64))
+            return pa.table({"shard": pa.array([shard] * 2, pa.int32()), "found": [False, True], "arr": pa.array([_pack(level.T), _pack(_key_hash(again))], pa.binary())})
+
+        out = f"{self.folder}/scan-{uuid.uuid4().hex}"
+        whole.groupBy("shard").applyInArrow(scan, "shard int, found boolean, arr binary").write.parquet(out)
+        runs = [[path, batch]]
         for k in range(carry):
-            del self.levels[k]
-        self.levels[carry] = out.where("not found").select("shard", "arr")
-        release(entries.sparkSession)
-        found = out.where("found").select("shard", "arr")
-        self.found = found  # levels keep counts, so the newest scan knows all that older ones found
+            runs += levels.pop(k)[1]
+        levels[carry] = [out, runs]
+        s |= {"version": s["version"] + 1, "levels": levels, "found": [*s["found"], out]}
+        self.spark.createDataFrame([(s["version"], json.dumps(s))], "version int, state string").coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+        release(self.spark)
+
+    def drop(self) -> None:
+        _delete(self.spark, self.folder)
 
 
 # --- contexts of suffixes that begin alike ---
 
-CANDIDATES = "id long, content long, place long, far int, near int"
+CANDIDATES = "a long, b long, place long, far int, near int"
 
 
-def _candidates(entries: DataFrame, found: DataFrame, lookup: int, words: int) -> DataFrame:
+def _candidates(runs: DataFrame, found: DataFrame, lookup: int, words: int) -> DataFrame:
     """Places of all suffixes whose beginning was found twice. A shard is looked up in as many tasks as its size asks for, so that a
     beginning that very many documents share is spread over tasks.
     """
-    size = entries.groupBy("shard").agg(F.sum(F.length("places") + F.length("docs")).alias("bytes")).select("shard", F.ceil(F.col("bytes") / lookup).cast("int").alias("salts"))
+    size = runs.groupBy("shard").agg(F.sum(F.length("places") + F.length("docs")).alias("bytes")).select("shard", F.ceil(F.col("bytes") / lookup).cast("int").alias("salts"))
     empty = F.lit(None).cast("binary")
     asked = found.join(size.hint("shuffle_hash"), "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     asked = asked.select("shard", "salt", F.lit(0).alias("kind"), F.col("arr"), empty.alias("docs"), empty.alias("places"))
-    held = entries.join(size.hint("shuffle_hash"), "shard").select("shard", F.pmod(F.col("part"), F.col("salts")).alias("salt"), F.lit(1).alias("kind"), "arr", "docs", "places")
+    held = runs.join(size.hint("shuffle_hash"), "shard").select("shard", F.pmod(F.col("part"), F.col("salts")).alias("salt"), F.lit(1).alias("kind"), "arr", "docs", "places")
     together = asked.union(held).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,40 +292,36 @@ def _candidates(entries: DataFrame, found: DataFrame, lookup: int, words: int) -
                 if (now := (shard.as_py(), salt.as_py())) != key:
                     key, known = now, []
                 if kind.as_py() == 0:
-                    known.append(np.frombuffer(_unpack(arr.as_py()), np.uint64))
+                    known.append(np.frombuffer(unpack_bytes(arr.as_py()), np.uint64))
                     continue
                 table = np.unique(np.concatenate(known)) if known else np.zeros(0, np.uint64)
                 known = [table]
                 keys, _ = _array(arr.as_py(), words)
                 is_in = np.isin(_key_hash(keys), table)
-                raw = _unpack(places.as_py())
+                raw = unpack_bytes(places.as_py())
                 n = len(raw) // 20
                 which, doc = (np.frombuffer(raw, np.int32, n, 4 * n * i) for i in range(2))
                 at = np.frombuffer(raw, np.int64, n, 8 * n)
                 far, near = (np.frombuffer(raw, np.int16, n, 16 * n + 2 * n * i) for i in range(2))
-                raw = _unpack(docs.as_py())
-                m = len(raw) // 17
-                ids, content, null = np.frombuffer(raw, np.int64, m), np.frombuffer(raw, np.int64, m, 8 * m), np.frombuffer(raw, bool, m, 16 * m)
+                a, b = np.frombuffer(unpack_bytes(docs.as_py()), np.int64).reshape(2, -1)
                 take = np.flatnonzero(is_in[which])
                 if len(take):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[doc[take]], mask=null[doc[take]]), pa.array(content[doc[take]]), pa.array(at[take]), pa.array(far[take].astype(np.int32)), pa.array(near[take].astype(np.int32))], names=["id", "content", "place", "far", "near"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a[doc[take]]), pa.array(b[doc[take]]), pa.array(at[take]), pa.array(far[take].astype(np.int32)), pa.array(near[take].astype(np.int32))], names=["a", "b", "place", "far", "near"])
 
     return together.mapInArrow(run, CANDIDATES)
 
 
 CONTEXT = "shard int, n int, settled boolean, blob binary"
-_DOC, _PLACE = np.dtype([("id", "<i8"), ("content", "<i8"), ("null", "?")]), np.dtype([("id", "<i8"), ("content", "<i8"), ("null", "?"), ("place", "<i8"), ("far", "<i2"), ("near", "<i2"), ("twice", "?")])
-_SPAN = np.dtype([("id", "<i8"), ("content", "<i8"), ("null", "?"), ("start", "<i8"), ("end", "<i8")])
+_PLACE = np.dtype([("a", "<i8"), ("b", "<i8"), ("place", "<i8"), ("far", "<i2"), ("near", "<i2"), ("twice", "?")])
+_SPAN = np.dtype([("a", "<i8"), ("b", "<i8"), ("start", "<i8"), ("end", "<i8")])
 
 
 def _packed_texts(rows: DataFrame) -> DataFrame:
     """``rows`` with their last column, _text, compressed: texts shuffle at about two thirds of what the shuffle's own compression leaves."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd", _ZSTD)
         for batch in it:
-            texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
-            packed = pa.array([len(b).to_bytes(8, "little") + codec.compress(b, asbytes=True) for b in texts], pa.binary())
+            packed = pa.array([pack_bytes(b) for b in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], names=batch.schema.names)
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]]
@@ -263,22 +330,20 @@ def _packed_texts(rows: DataFrame) -> DataFrame:
 
 def _contexts(docs: DataFrame, candidates: DataFrame, text: str, id: str, shards: int, length: int, depth: int) -> DataFrame:
     """The windows of candidate suffixes, as one string for each, by shard; those that are equal within a task are settled there."""
-    places = candidates.groupBy("id", "content").agg(F.collect_list(F.struct("place", "far", "near")).alias("places"))
-    value = F.coalesce(F.col(text), F.lit(""))
-    rows = _packed_texts(docs.select(F.col(id).cast("long").alias("_id"), F.xxhash64(value).alias("_content"), value.alias("_text")))
+    # a set: rows that repeat an id and a text have the same places, each of which is noted once
+    places = candidates.groupBy("a", "b").agg(F.collect_set(F.struct("place", "far", "near")).alias("places"))
+    rows = _packed_texts(docs.select(*identity(id, text), F.coalesce(F.col(text), F.lit("")).alias("_text")))
     # rows that repeat are two places of all their strings
-    joined = rows.join(places.hint("shuffle_hash"), rows["_id"].eqNullSafe(places["id"]) & (rows["_content"] == places["content"])).select("_id", "_content", "places", "_text")
+    joined = rows.join(places.hint("shuffle_hash"), ["a", "b"]).select("a", "b", "places", "_text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in it:
-            for doc, content, at, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                b = _unpack(t)
-                v = at.values
-                # a row that repeats has its places once for each row: they are the same here
-                for place, far, near in dict.fromkeys(zip(v.field(0).to_pylist(), v.field(1).to_pylist(), v.field(2).to_pylist(), strict=True)):
-                    c = b[place - far : place - near + length]
-                    held.append((c, far, near, doc or 0, content, doc is None, place))
+            for a, b, at, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                raw, v = unpack_bytes(t), at.values
+                for place, far, near in zip(*(v.field(i).to_pylist() for i in range(3)), strict=True):
+                    c = raw[place - far : place - near + length]
+                    held.append((c, far, near, a, b, place))
                     size += len(c)
             if size > 32 << 20:
                 yield from write(held)
@@ -292,22 +357,16 @@ def _contexts(docs: DataFrame, candidates: DataFrame, text: str, id: str, shards
         for i, h in enumerate(held):
             count[seen.setdefault(h[:2], i)] += 1
         first = sorted(seen.values())
-        again = np.array([count[seen[h[:2]]] > 1 for h in held])
-        spans = np.zeros(int(again.sum()), _SPAN)
-        for k, i in enumerate(np.flatnonzero(again)):
-            c, far, near, doc, content, null, place = held[i]
-            spans[k] = (doc, content, null, place - far, place - near + length)
-        rows = [(-1, len(spans), True, _pack(spans))] if len(spans) else []
+        # of rows that repeat, one span will do
+        again = list(dict.fromkeys((a, b, place - far, place - near + length) for c, far, near, a, b, place in held if count[seen[c, far]] > 1))
+        rows = [(-1, len(again), True, _pack(np.array(again, _SPAN)))] if again else []
         by: dict[int, list[int]] = {}
         for i in first:
             c, far = held[i][0], held[i][1]
             k = int.from_bytes(hashlib.blake2b(c[far : far + depth], digest_size=8).digest(), "little") % shards
             by.setdefault(k, []).append(i)
         for k, own in by.items():
-            places = np.zeros(len(own), _PLACE)
-            for j, i in enumerate(own):
-                _, far, near, doc, content, null, place = held[i]
-                places[j] = (doc, content, null, place, far, near, count[i] > 1)
+            places = np.array([(a, b, place, far, near, count[i] > 1) for i in own for _, far, near, a, b, place in (held[i],)], _PLACE)
             rows.append((k, len(own), False, len(own).to_bytes(8, "little") + _pack(places, np.frombuffer(b"".join(held[i][0] for i in own), np.uint8))))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=["shard", "n", "settled", "blob"])
 
@@ -315,65 +374,52 @@ def _contexts(docs: DataFrame, candidates: DataFrame, text: str, id: str, shards
 
 
 def _read(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, raw = int.from_bytes(blob[:8], "little"), _unpack(blob[8:])
+    n, raw = int.from_bytes(blob[:8], "little"), unpack_bytes(blob[8:])
     return np.frombuffer(raw, _PLACE, n), np.frombuffer(raw, np.uint8, offset=n * _PLACE.itemsize)
 
 
-_SEGMENT = 1 << 20
+def _ordered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of bytes in order: the order, the length of the beginning that each shares with the row before it (0 for the first), and the
+    longest that each row (in its old place) shares with any other."""
+    n, width = rows.shape
+    order = np.argsort(np.ascontiguousarray(rows).view(f"S{width}").ravel(), kind="stable")
+    sorted_ = rows[order]
+    differ = sorted_[1:] != sorted_[:-1]
+    shared = np.concatenate([[0], np.where(differ.any(axis=1), differ.argmax(axis=1), width)])
+    longest = np.empty(n, np.int64)
+    longest[order] = np.maximum(shared, np.append(shared[1:], 0))
+    return order, shared, longest
 
 
 def repeated(places: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
-    """Spans of the windows that stand in two of the contexts (``data``, one after another; at least one). Windows are grouped by hash at equal distance
-    from their suffix, and what is grouped is confirmed byte by byte.
+    """Spans of the windows that stand in two of the contexts (``data``, one after another; at least one).
+
+    The suffixes that the contexts are about are sorted by what follows them, and by what stands before them, read backwards, each with
+    the lengths that neighbours share. Two windows at a distance o before their suffixes are equal if the ``length`` - o bytes that
+    follow and the o bytes before are: if no neighbours between them share less. Only distances that a suffix's longest shared
+    lengths allow are looked at. Bytes of other contexts, which stand beyond a context's ends, order suffixes but are never within such a length.
     """
     far, near = places["far"].astype(np.int64), places["near"].astype(np.int64)
     size = far - near + length
-    base = np.concatenate([[0], np.cumsum(size)[:-1]])
-    # prefix hashes begin anew every so many contexts, which keeps their powers few
-    first = np.flatnonzero(np.diff(base // _SEGMENT, prepend=-1))
-    segment = np.searchsorted(first, np.arange(len(places)), "right") - 1
-    ends = np.append(base[first[1:]], len(data))
-    s = np.concatenate([prefix_hash(data[a:b]) for a, b in zip(base[first], ends, strict=True)])
-    origin = base[first][segment]
-    _, inv = powers(int((ends - base[first]).max()) + 1)
-    most = int(far.max(initial=0))
-    twin = np.full((len(places), most + 1), -1, np.int32)  # the row before, in each group
-    mark = np.zeros((len(places), most + 1), bool)
-    for o in range(int(near.min(initial=0)), most + 1):
-        own = np.flatnonzero((near <= o) & (o <= far))
+    at = np.cumsum(size) - size + far
+    after, before = length - int(near.min()), max(int(far.max()), 1)
+    ahead = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(after, np.uint8)), after)
+    back = np.lib.stride_tricks.sliding_window_view(np.append(data[::-1], np.zeros(before, np.uint8)), before)
+    order, shared, most = _ordered(ahead[at])
+    order_, shared_, most_ = _ordered(back[len(data) - at])
+    low, high = np.maximum(near, length - most), np.minimum(far, most_)
+    mark = np.zeros((len(places), int(far.max()) + 1), bool)
+    for o in range(int(low.min()), int(high.max()) + 1):
+        own = np.flatnonzero((low <= o) & (o <= high))
         if len(own) < 2:
             continue
-        q = base[own] + far[own] - o
-        with np.errstate(over="ignore"):
-            h = (s[q + segment[own] + length] - s[q + segment[own]]) * inv[q - origin[own]]
-        order = np.argsort(h, kind="stable")
-        same = np.flatnonzero(h[order[1:]] == h[order[:-1]])
-        if len(same):
-            a, b = own[order[same]], own[order[same + 1]]
-            twin[b, o] = a
-            mark[a, o] = mark[b, o] = True
-    raw = data.tobytes()
-    change = np.ones((len(places), most + 2), bool)
-    change[:, 1:-1] = twin[:, 1:] != twin[:, :-1]
-    row, at = np.nonzero(change)
-    for r, lo, hi in zip(row.tolist(), at.tolist(), np.append(at[1:], 0).tolist(), strict=True):
-        if lo <= most and (t := int(twin[r, lo])) >= 0:
-            x, y = int(base[r] + far[r]), int(base[t] + far[t])
-            if raw[x - hi + 1 : x - lo + length] != raw[y - hi + 1 : y - lo + length]:
-                return _by_bytes(places, raw, base, length)  # two windows of one hash
-    return _spans(places, mark, length)
-
-
-def _by_bytes(places: np.ndarray, raw: bytes, base: np.ndarray, length: int) -> np.ndarray:
-    seen: dict[tuple[int, bytes], list[int]] = {}
-    for r, p in enumerate(places):
-        for o in range(int(p["near"]), int(p["far"]) + 1):
-            q = int(base[r]) + int(p["far"]) - o
-            seen.setdefault((o, raw[q : q + length]), []).append(r)
-    mark = np.zeros((len(places), int(places["far"].max(initial=0)) + 1), bool)
-    for (o, _), rows in seen.items():
-        if len(rows) > 1:
-            mark[rows, o] = True
+        follows, precedes = np.empty(len(places), np.int64), np.empty(len(places), np.int64)
+        follows[order] = np.cumsum(shared < length - o)
+        precedes[order_] = np.cumsum(shared_ < o)
+        both = precedes[own] * (len(places) + 1) + follows[own]
+        by = np.argsort(both, kind="stable")
+        same = np.flatnonzero(both[by[1:]] == both[by[:-1]])
+        mark[own[by[same]], o] = mark[own[by[same + 1]], o] = True
     return _spans(places, mark, length)
 
 
@@ -385,17 +431,17 @@ def _spans(places: np.ndarray, mark: np.ndarray, length: int) -> np.ndarray:
     row, lo = np.nonzero(step == 1)
     _, hi = np.nonzero(step == -1)
     out = np.zeros(len(row), _SPAN)
-    for name in ("id", "content", "null"):
+    for name in ("a", "b"):
         out[name] = places[name][row]
     out["start"], out["end"] = places["place"][row] - (hi - 1), places["place"][row] - lo + length
     return out
 
 
-SPANS = "id long, content long, start long, end long"
+SPANS = "a long, b long, start long, end long"
 
 
 def _span_batch(x: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x["id"], mask=np.ascontiguousarray(x["null"])), pa.array(x["content"]), pa.array(x["start"]), pa.array(x["end"])], names=["id", "content", "start", "end"])
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[c])) for c in _SPAN.names], names=list(_SPAN.names))
 
 
 def _compare(contexts: DataFrame, length: int, most: int) -> DataFrame:
@@ -404,7 +450,7 @@ def _compare(contexts: DataFrame, length: int, most: int) -> DataFrame:
     def settled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for blob in batch.column(0).to_pylist():
-                yield _span_batch(np.frombuffer(_unpack(blob), _SPAN))
+                yield _span_batch(np.frombuffer(unpack_bytes(blob), _SPAN))
 
     def shard(table: pa.Table) -> pa.Table:
         got = [_read(b) for b in table["blob"].to_pylist()]
@@ -421,40 +467,32 @@ def _compare(contexts: DataFrame, length: int, most: int) -> DataFrame:
                 o = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + near[row]
                 start = np.concatenate([[0], np.cumsum(size + length - 1)[:-1]])[row] + far[row] - o
                 raw = data.tobytes()
-                for a in range(0, len(row), 1 << 15):
-                    cut = slice(a, a + (1 << 15))
-                    r = row[cut]
+                for x in range(0, len(row), 1 << 15):
+                    cut = slice(x, x + (1 << 15))
                     wide = [hashlib.blake2b(raw[q : q + length], digest_size=16).digest() for q in start[cut].tolist()]
-                    p = places[r]
-                    yield pa.RecordBatch.from_arrays([pa.array(wide, pa.binary()), pa.array(p["id"], mask=np.ascontiguousarray(p["null"])), pa.array(p["content"]), pa.array(p["place"] - o[cut]), pa.array(p["twice"])], names=["window", "id", "content", "start", "twice"])
+                    p = places[row[cut]]
+                    yield pa.RecordBatch.from_arrays([pa.array(wide, pa.binary()), pa.array(p["a"]), pa.array(p["b"]), pa.array(p["place"] - o[cut]), pa.array(p["twice"])], names=["window", "a", "b", "start", "twice"])
 
     sizes = contexts.where("not settled").groupBy("shard").agg(F.sum("n").alias("total"))
     rest = contexts.where("not settled").join(sizes.hint("shuffle_hash"), "shard")
     out = contexts.where("settled").select("blob").mapInArrow(settled, SPANS)
     out = out.union(rest.where(F.col("total") <= most).select("shard", "blob").groupBy("shard").applyInArrow(shard, SPANS))
-    # shards with more contexts than one task should compare: count each window, combined before it is shuffled
-    each = rest.where(F.col("total") > most).select("blob").mapInArrow(windows, "window binary, id long, content long, start long, twice boolean")
+    # a beginning with more contexts than one task can hold: its windows are counted by their digests, combined before they are shuffled
+    each = rest.where(F.col("total") > most).select("blob").mapInArrow(windows, "window binary, a long, b long, start long, twice boolean")
     twice = each.groupBy("window").agg((F.count(F.lit(1)) + F.max(F.col("twice").cast("int"))).alias("m")).where("m > 1").select(F.col("window").alias("_w"))
-    hot = each.where("not twice").join(twice, F.col("window") == F.col("_w")).select("id", "content", "start", (F.col("start") + length).alias("end"))
+    hot = each.where("not twice").join(twice, F.col("window") == F.col("_w")).select("a", "b", "start", (F.col("start") + length).alias("end"))
     return out.union(hot)
 
 
 # --- the operator ---
 
 
-def repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", length: int = LENGTH, batches: int = BATCHES, depth: int = DEPTH, most: int = CONTEXTS) -> DataFrame:
-    """Spans of documents that strings of ``length`` bytes cover which start at another place too: id, content, spans (start, end)."""
-    spark = docs.sparkSession
-    prepare(spark)
-    total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    shards = max(total // SHARD_BYTES, 8)
-    entries = stored(suffix_entries(docs, text, id, shards, batches, length, depth))
-    family = IndexFamily(depth)
-    for k in range(batches):
-        family.add(entries.where(F.col("batch") == k))
-    candidates = stored(_candidates(entries, family.found, LOOKUP_BYTES, depth // 8))
-    del entries, family
-    release(spark)
+def repeats(family: IndexFamily, docs: DataFrame, text: str = "text", id: str = "doc_id", most: int = CONTEXTS) -> DataFrame:
+    """Spans of documents that strings of the family's length cover which start at another place too: a, b (see ``identity``) and spans
+    (start, end). ``docs``: all documents that were added to the family.
+    """
+    spark, length, depth = family.spark, family.state["length"], family.state["depth"]
+    candidates = stored(_candidates(family.runs(), family.found(), LOOKUP_BYTES, depth // 8))
     groups = max(candidates.count() // PER_SHARD, 8)
     contexts = stored(_contexts(docs, candidates, text, id, groups, length, depth))
     del candidates
@@ -462,7 +500,7 @@ def repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", length: int
     spans = stored(_compare(contexts, length, most))
     del contexts
     release(spark)
-    return spans.groupBy("id", "content").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return spans.groupBy("a", "b").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def suffix_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", length: int = LENGTH, batches: int = BATCHES, most: int = CONTEXTS) -> DataFrame:
@@ -471,28 +509,32 @@ def suffix_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", length
 
     1. Suffixes are sampled (``sample``), sorted by each task, and added to an ``IndexFamily`` in batches.
     2. Suffixes that begin alike in two places are looked up, and their windows are cut out of the texts.
-    3. Equal windows are found and confirmed byte by byte. A shard with more than ``most`` contexts is compared by 128-bit digests of its
-       windows instead, which combine before they are shuffled.
+    3. The suffixes are sorted to full length in both directions, and shared lengths tell which windows are equal (``repeated``). A
+       shard of more than ``most`` contexts is too large for a task: its windows are counted by 128-bit digests, with the same result.
     4. Spans are joined in each document and removed.
 
     Strings are those of the input, matches don't cross documents, and null texts are empty and become empty. Rows that repeat an id and
     a text are two places; null ids are documents too. The kept text leaves out parts of characters that a cut leaves; the digest is of the
     bytes as they remain. An empty table gives an empty result. Columns that clash with the four names are replaced.
     """
-    found = repeats(docs, text, id, length, batches, most=most)
+    spark = docs.sparkSession
+    prepare(spark)
+    family = IndexFamily(spark, f"{checkpoint_folder(spark)}/suffixes-{uuid.uuid4().hex}", length)
+    family.add_documents(docs, text, id, batches)
+    found = repeats(family, docs, text, id, most)
+    family.drop()
     names = [c for c in docs.columns if c not in ("_n_bytes", "_n_removed", "_n_spans", "_kept_sha256")]
     at, value = names.index(text), F.coalesce(F.col(text), F.lit(""))
     other = [c for c in names if c != text]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in other]).alias("_row"), F.col(id).cast("long").alias("_id"), F.xxhash64(value).alias("_content"), value.alias("_text"))
-    rows = _packed_texts(rows)
-    joined = rows.join(found.hint("shuffle_hash"), rows["_id"].eqNullSafe(found["id"]) & (rows["_content"] == found["content"]), "left").select("_row", "spans", "_text")
+    rows = _packed_texts(docs.select(F.struct(*[F.col(f"`{c}`") for c in other]).alias("_row"), *identity(id, text), value.alias("_text")))
+    joined = rows.join(found.hint("shuffle_hash"), ["a", "b"], "left").select("_row", "spans", "_text")
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             n, removed, runs, digest, kept = [], [], [], [], []
             row = batch.column(0)
             for t, spans in zip(batch.column(2).to_pylist(), batch.column(1), strict=True):
-                b, end, parts = _unpack(t), 0, []
+                b, end, parts = unpack_bytes(t), 0, []
                 k = 0
                 if spans.is_valid:
                     v = spans.values

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, mix, prefix_hash, prepare, span_hash, stored, utf8, words
+from .common import LOWER, chunks, mix, prepare, span_hash, stored, utf8, words
 from .quality import labelled
 from .rules import statistics
 
@@ -25,8 +25,6 @@ FIT_TASKS = 8
 CELLS = 1 << 20
 #: Lengths of word beginnings in bytes; 0 is the whole word.
 LENGTHS = (0, 4, 5, 6, 8)
-#: So many cells at most become features of the classifier, and the mined lexicons of the voters.
-FEATURES = 4096
 #: Rows of class 1 that must have a cell before it is mined, and how far its rows must speak against chance (log-likelihood ratio).
 SUPPORT = 5
 EVIDENCE = 12.0
@@ -56,12 +54,11 @@ def cells(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     has = run[end] > run[start]
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))[has]
     start, end = at[run[start[has]]], at[run[end[has]] - 1] + 1
-    s = prefix_hash(d)
     docs, keys = [], []
     for k, length in enumerate(LENGTHS):
         long = np.ones(len(start), bool) if not length else end - start > length
         stop = end if not length else start + length
-        h = span_hash(s, start[long], stop[long])
+        h = span_hash(d, start[long], stop[long])
         keys.append(mix(h + np.uint64(k + 1)) & np.uint64(CELLS - 1))
         docs.append(doc[long])
     pair = np.unique(np.concatenate(docs).astype(np.uint64) * np.uint64(CELLS) + np.concatenate(keys))
@@ -70,7 +67,7 @@ def cells(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def word_cell(word: str) -> int:
     d = LOWER[np.frombuffer(word.encode(), np.uint8)]
-    return int(mix(span_hash(prefix_hash(d), np.array([0]), np.array([len(d)])) + np.uint64(1))[0] & np.uint64(CELLS - 1))
+    return int(mix(span_hash(d, np.array([0]), np.array([len(d)])) + np.uint64(1))[0] & np.uint64(CELLS - 1))
 
 
 @dataclass(frozen=True)
@@ -228,7 +225,12 @@ def _choose(seen: pd.DataFrame, clean: np.ndarray, share: float) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE, label: str = "toxic") -> Classifier | None:
-    """Voters, label model and classifier from at most ``sample`` labelled documents; None where none is labelled."""
+    """Voters, label model and classifier from at most ``sample`` labelled documents; None where none is labelled.
+
+    Null texts are empty ones. Labels without a document, null labels and null ids are not used; a document that repeats, or has several
+    labels, is learned from as often.
+    """
+    prepare(docs.sparkSession)
     rows = stored(labelled(docs, labels, text, sample, label).select(F.col(text).alias("_text"), (F.col("_label") == 1).alias("_y"), "doc_id").repartition(FIT_TASKS, "doc_id"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SA
     odds = np.log((have[1] + 0.25) / (n[1] + 0.5)) - np.log((have[0] + 0.25) / (n[0] + 0.5))
     share = n[1] / n.sum()
     evidence = np.where((have[1] >= SUPPORT) & (odds > 1.5), _against_chance(have[1], have[0], share), 0)
-    telling = np.argsort(-evidence, kind="stable")[:FEATURES]
+    telling = np.argsort(-evidence, kind="stable")
     telling = telling[evidence[telling] >= EVIDENCE]
     telling = telling[_choose(_lists(rows, telling), have[0][telling], share)]
     lexicon = np.full(CELLS, -1, np.int8)
