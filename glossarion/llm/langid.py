@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +27,6 @@ PENALTY = 3.0
 LEAST = 0.02
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 
@@ -135,8 +133,9 @@ def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang",
 def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
     """``keep`` columns (with ``with_text`` the text may be one of them), lang_pred, score (its share) and proportions (a map of the selected languages) for every row.
 
-    ``und`` with score 0 where the text is null or has no letter, or where nothing could be learned. Rows that repeat and null ids are
-    judged row by row; an empty table gives an empty result.
+    ``und`` with score 0 where the text is null or has no letter (numerals and marks are none), or where nothing could be learned. Words
+    are what white space divides, and a mixture is one of words: a text without any is of one language. Rows that repeat and null ids
+    are judged row by row; an empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
@@ -152,7 +151,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: tup
                 letters = letters[o[1:]] > letters[o[:-1]]
                 pi = model.infer(d, o)[0] if model else np.zeros((b - a, 0))
                 for i in range(b - a):
-                    ok = model is not None and (letters[i] or bool(_LETTER.search(d[o[i] : o[i + 1]].tobytes().decode())))
+                    ok = model is not None and (letters[i] or any(map(str.isalpha, d[o[i] : o[i + 1]].tobytes().decode())))
                     k = int(np.argmax(pi[i])) if ok else 0
                     names.append(model.langs[k] if ok else UNKNOWN)
                     scores.append(min(1.0, float(pi[i, k])) if ok else 0.0)
