@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -20,13 +21,18 @@ LENGTH = 2048
 END_ID = 1
 
 
+#: White space that the fast encoder's pattern engine can't take.
+_LONG_RUN = re.compile(r"\s{10000}")
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str, special: bool = False) -> Callable[[str], np.ndarray]:
     """Text to ids of a tokenizer file of the library ``tokenizers``. ``special``: strings of special tokens in the text are these tokens,
     as in the library's own ``encode(text, add_special_tokens=False)``; otherwise they are ordinary text.
 
     A byte-level BPE whose merges make the ids in order is run by tiktoken, which merges by id and gives the same ids some four times
-    as fast; any other file, and with ``special`` any text that holds a token added to the file, is run by ``tokenizers`` itself.
+    as fast; any other file, with ``special`` any text that holds a token added to the file, and any text with a very long run of white
+    space, on which its pattern engine overflows its stack, is run by ``tokenizers`` itself.
     """
     from tokenizers import Tokenizer
 
@@ -46,12 +52,7 @@ def encoder(path: str, special: bool = False) -> Callable[[str], np.ndarray]:
     fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
-        if any(t in text for t in added):
-            return plain(text)
-        try:
-            return np.asarray(fast.encode_ordinary(text), np.uint32)
-        except Exception:  # its pattern engine gives up on some very long runs
-            return plain(text)
+        return plain(text) if any(t in text for t in added) or _LONG_RUN.search(text) else np.asarray(fast.encode_ordinary(text), np.uint32)
 
     return encode
 
@@ -140,7 +141,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
 def sequences(pieces: DataFrame, length: int = LENGTH, pad_id: int = END_ID) -> DataFrame:
     """Whole sequences: sequence_id, ids (array of ``length`` ids, padded at the end) and n (ids before the padding).
 
-    A sequence has ``length`` ids at most, so no group is larger than that.
+    A sequence has ``length`` ids at most, so no group is larger than that. No pieces give no sequences; null and repeated documents are
+    told apart by their pieces' places, and other columns are not read.
     """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
