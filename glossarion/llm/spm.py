@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -16,10 +17,10 @@ from .common import prepare
 from .packing import pack_ids, unpack_ids
 
 SPACE = "▁"
-#: Encoded units (runs of spaces with the word after them) that a task remembers at a time.
-REMEMBERED = 600_000
-#: Units of at most so many characters are remembered, and the search states of their first characters.
-SHORT, HEAD = 64, 7
+#: Characters of encoded units (runs of spaces with the word after them) that a task remembers at a time, and search states and pairs.
+REMEMBERED, STATES = 6_000_000, 600_000
+#: The search states of units' first characters are remembered.
+HEAD = 7
 
 
 class Model:
@@ -33,7 +34,9 @@ class Model:
       of the text it covers; so a boundary has exactly one last piece that fits the piece before it.
 
     Only boundaries within the longest piece can be continued. When all of these lead back to one boundary, the ids before it are final:
-    they are given out, and the window moves on. Memory is bounded by the longest piece and not by the text.
+    they are given out, and the window moves on. Memory is bounded by the longest piece and not by the text. Where no piece has a space
+    after another character, all ways meet before each space that follows one; what stands between such boundaries is a unit, whose
+    ids depend on nothing else, so they are remembered and found again. All units take the same search.
     """
 
     def __init__(self, path: str):
@@ -55,46 +58,79 @@ class Model:
         #: no piece has a space after another character, so a space after one is a boundary of every way
         self.split = not any(SPACE in s.lstrip(SPACE) for s in self.id)
         self.worst = min(self.score.values(), default=0.0) - 10.0
-        #: of BPE pieces, those that encode to themselves; the others never appear
+        #: when a piece is merged: 0 is first; characters are there before all merges
+        place = {v: i for i, v in enumerate(sorted({self.score[i] for s, i in self.id.items() if len(s) > 1}, reverse=True))}
+        self.turn = {s: -1 if len(s) == 1 else place[self.score[i]] for s, i in self.id.items()}
+        #: of BPE pieces, those that encode to themselves, with the two that their last merge joins; the others never appear
+        self.halves: dict[str, tuple[str, str]] = {}
         self.usable = {s for s in self.id if not self.bpe or len(s) == 1 or self._merge(s) == [s]}
+        #: usable pieces by their characters from the last to the first; "" leads to the piece
+        self.tail: dict = {}
+        for s in sorted(self.usable) if self.bpe else ():
+            node = self.tail
+            for c in reversed(s):
+                node = node.setdefault(c, {})
+            node[""] = s
         self.fits: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
-        self.heads: dict[str, list[str | None]] = {}
+        self.held = 0
+        self.heads: dict[str, tuple[list[str | None], list[float]]] = {}
 
     def _merge(self, s: str) -> list[str]:
         """BPE by its definition, for short strings: join the neighbours of the best score, the leftmost first."""
-        x = list(s)
+        x, turn = list(s), self.turn
         while len(x) > 1:
-            best = max(((self.score[i], -k) for k in range(len(x) - 1) if (i := self.id.get(x[k] + x[k + 1])) is not None), default=None)
+            best = min(((t, k) for k in range(len(x) - 1) if (t := turn.get(x[k] + x[k + 1])) is not None), default=None)
             if best is None:
                 break
-            k = -best[1]
+            k = best[1]
+            if len(x) == 2:
+                self.halves[s] = (x[0], x[1])
             x[k : k + 2] = [x[k] + x[k + 1]]
         return x
 
     def apart(self, a: str, b: str) -> bool:
-        """Whether pieces a and b stay as they are next to each other; a character without a piece joins nothing."""
+        """Whether pieces a and b stay as they are next to each other; a character without a piece joins nothing.
+
+        Merges are undone from the last on, at the side where it was later. A piece across the border that would have been merged before
+        what was undone last (or, on the right, at the same turn, as the leftmost goes first) would have come first.
+        """
         ok = self.fits.get((a, b))
         if ok is None:
-            if len(self.fits) >= REMEMBERED:
+            if len(self.fits) >= STATES:
                 self.fits.clear()
-            ok = self.fits[a, b] = a not in self.id or b not in self.id or self._merge(a + b) == [a, b]
+            turn, x, y, limit = self.turn, a, b, 1 << 60
+            ok = a not in turn or b not in turn
+            while not ok:
+                across = turn.get(x + y)
+                if across is not None and across < limit:
+                    break
+                left, right = turn[x], turn[y]
+                if left > right:
+                    limit, x = left, self.halves[x][1]
+                elif right >= 0:
+                    limit, y = right + 1, self.halves[y][0]
+                else:
+                    ok = True
+            self.fits[a, b] = ok
         return ok
 
     def _fill(self, text: str, last: list[str | None], value: list[float], done: int, to: int) -> None:
         """Extend ``last`` (the last piece by boundary, from ``done`` on; None: not reachable) and the unigram ``value`` up to ``to``."""
-        endings, usable, fits, apart = self.endings, self.usable, self.fits, self.apart
+        endings, usable, tail, fits, apart = self.endings, self.usable, self.tail, self.fits, self.apart
         if self.bpe:
             for j in range(done + len(last), to + 1):
-                found, i, piece = [], j - 1, None
-                while i >= done and (s := text[i:j]) in endings:
-                    if s in usable and last[i - done] is not None:
+                node, i, found, piece = tail, j - 1, [], None
+                while i >= done and (node := node.get(text[i])) is not None:
+                    if (s := node.get("")) is not None:
                         found.append(s)
                     i -= 1
-                while found:
+                while found:  # the longest first
                     s = found.pop()
                     before = last[j - len(s) - done]
-                    ok = not before or fits.get((before, s))
+                    if before is None:
+                        continue
+                    ok = fits.get((before, s)) if before else True
                     if ok or (ok is None and apart(before, s)):
                         piece = s
                         break
@@ -127,14 +163,49 @@ class Model:
 
     def stream(self, text: str) -> Iterator[int]:
         """Ids of normalised ``text``, each given out as soon as it is final."""
-        width, n = self.longest, len(text)
-        last: list[str | None] = [""]
-        value, done, look = [0.0], 0, 4 * width
+        for unit in _UNIT.finditer(text) if self.split else (text,):
+            yield from (self._unit(unit[0]) if self.split else itertools.chain.from_iterable(self._search(unit)))
+
+    def _unit(self, unit: str) -> Iterable[int]:
+        """Ids of a unit: remembered, or searched and then remembered, and given out while they are found if they are too many for that."""
+        ids = self.known.get(unit)
+        if ids is None:
+            runs = self._search(unit)
+            if len(unit) > REMEMBERED:
+                return itertools.chain.from_iterable(runs)
+            ids = self._remember(unit, tuple(itertools.chain.from_iterable(runs)))
+        return ids
+
+    def _remember(self, unit: str, ids: tuple[int, ...]) -> tuple[int, ...]:
+        if self.held + len(unit) > REMEMBERED:
+            self.known.clear()
+            self.held = 0
+        self.held += len(unit)
+        self.known[unit] = ids
+        return ids
+
+    def _search(self, text: str) -> Iterator[list[int]]:
+        """Ids of ``text`` in runs, each as soon as all ways that can be continued lead back to its end."""
+        width, n, head = self.longest, len(text), text[:HEAD]
+        if not n:
+            return
+        start = self.heads.get(head)
+        if start is None:
+            if len(self.heads) >= STATES:
+                self.heads.clear()
+            start = ([""], [0.0])
+            self._fill(head, *start, 0, len(head))
+            self.heads[head] = start
+        last, value = start[0].copy(), start[1].copy()
+        done, look = 0, max(4 * width, HEAD)
         while done < n:
             at = min(n, done + look)
             self._fill(text, last, value, done, at)
             # boundaries that can still be continued, followed back until they are one
-            alive = {n} if at == n else {i for i in range(max(done, at - width), at + 1) if last[i - done] is not None}
+            if at == n:
+                yield self._ids(last, n - done)
+                return
+            alive = {i for i in range(max(done, at - width), at + 1) if last[i - done] is not None}
             while len(alive) > 1:
                 top = max(alive)
                 alive.remove(top)
@@ -143,46 +214,20 @@ class Model:
             if to == done:
                 look += 4 * width
                 continue
-            yield from self._ids(last, to - done)
+            yield self._ids(last, to - done)
             last, value, done, look = last[to - done :], value[to - done :], to, 4 * width
 
-    def _unit(self, unit: str) -> tuple[int, ...]:
-        """Ids of a short unit; what is known of its beginning is used again."""
-        head = unit[:HEAD]
-        start = self.heads.get(head)
-        if start is None:
-            if len(self.heads) >= REMEMBERED:
-                self.heads.clear()
-            start = [""]
-            self._fill(head, start, [0.0], 0, len(head))
-            self.heads[head] = start
-        last = start.copy()
-        self._fill(unit, last, [], 0, len(unit))
-        return tuple(self._ids(last, len(unit)))
-
     def _fallback(self, character: str) -> list[int]:
         return [self.byte[b] for b in character.encode()] if self.bytes else [self.lib.unk_id()]
 
     def encode(self, text: str) -> list[int]:
         whole = self.lib.normalize(text).replace(" ", SPACE) if text else ""
-        if not whole:
-            return []
         if not self.split:
             return list(self.stream(whole))
         out: list[int] = []
         known = self.known
         for unit in _UNIT.findall(whole):
-            ids = known.get(unit)
-            if ids is None:
-                if len(unit) > SHORT or not self.bpe:
-                    ids = tuple(self.stream(unit))
-                else:
-                    ids = self._unit(unit)
-                if len(unit) <= SHORT:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[unit] = ids
-            out += ids
+            out += known.get(unit) or self._unit(unit)
         return out
 
     def decode(self, ids: list[int]) -> str:
