@@ -51,8 +51,12 @@ def unname(s: str) -> str:
 
 FILTERS: dict[str, Callable[[str], str]] = {"escape": escape, "name": name, "trim": str.strip, "upper": str.upper, "lower": str.lower}
 
-_TAG = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}", re.S)
+_STRING = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\""
+#: A tag ends at its first end outside of strings.
+_TAG = re.compile(rf"\{{\{{((?:{_STRING}|.)*?)\}}\}}|\{{%((?:{_STRING}|.)*?)%\}}", re.S)
 _TOKEN = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(\d+)|([A-Za-z_]\w*)|(==|!=|[.\[\]()|+]))")
+#: Nested expressions and blocks.
+DEPTH = 250
 _CONSTANTS = {"true": True, "false": False, "none": None}
 _CODES = {"n": "\n", "t": "\t", "r": "\r"}
 
@@ -160,7 +164,20 @@ class _Expression:
 
 
 def parse(source: str) -> list[tuple]:
-    """The syntax tree of a template."""
+    """The syntax tree of a template; one that is nested more than DEPTH times is refused, as it couldn't be folded or run."""
+    try:
+        tree = _parse(source)
+    except RecursionError:
+        raise TemplateError("the template is nested too deeply") from None
+    level, depth = list(tree), 0
+    while level:
+        level, depth = [y for x in level if isinstance(x, (tuple, list)) for y in x], depth + 1
+    if depth > DEPTH:
+        raise TemplateError("the template is nested too deeply")
+    return tree
+
+
+def _parse(source: str) -> list[tuple]:
     parts, at = [], 0
     for m in _TAG.finditer(source):
         parts += [("text", source[at : m.start()])] if m.start() > at else []
