@@ -40,6 +40,21 @@ def shingles(text, n=5):
     return frozenset(tuple(w[j : j + n]) for j in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
+def thue_morse(n):
+    """Two different words over a and b of 2**n letters that every polynomial hash modulo a power of two confuses."""
+    x, y = "a", "b"
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
+
+
+def clashing(docs, *names):
+    """``docs`` with more columns, of names that an operator might use itself."""
+    from pyspark.sql import functions as F
+
+    return docs.withColumns({n: F.lit(f"other {n}") for n in names})
+
+
 def components(pairs, nodes):
     up = {n: n for n in nodes}
 

@@ -34,7 +34,7 @@ def corpus():
         rows.append((i, " ".join(w), lang, "s", 1))
         if i % 2:
             labels.append((i, int(not bad), int(toxic)))
-    odd = [(1000, None, None, None, None), (1001, "", "aa", "s", 0), (1002, "12 34 !!", "aa", "s", 1), (None, "ka lo mi", "aa", "s", 1), (1003, "ka lo " * 30000, "aa", "s", 1), (3, "ka lo", "bb", "s", 1)]
+    odd = [(1004, "½ ² ③", "aa", "s", 1), (1005, "½ é", "aa", "s", 1), (1000, None, None, None, None), (1001, "", "aa", "s", 0), (1002, "12 34 !!", "aa", "s", 1), (None, "ka lo mi", "aa", "s", 1), (1003, "ka lo " * 30000, "aa", "s", 1), (3, "ka lo", "bb", "s", 1)]
     return rows + odd, labels + [(None, 1, 1), (5000, 1, 0), (7, None, None)]
 
 
@@ -52,7 +52,7 @@ def test_language(tables, corpus):
     held = [r for r in got if r["held"] and r["doc_id"] is not None and r["doc_id"] < 1000]
     assert len(held) > 200 and sum(r["lang"] == r["lang_pred"] for r in held) / len(held) > 0.98
     by_id = {r["doc_id"]: r for r in got}
-    assert all(by_id[i]["lang_pred"] == "und" and by_id[i]["score"] == 0 for i in (1000, 1001, 1002))
+    assert all(by_id[i]["lang_pred"] == "und" and by_id[i]["score"] == 0 for i in (1000, 1001, 1002, 1004)) and by_id[1005]["lang_pred"] != "und"
     assert by_id[1003]["lang_pred"] == "aa" and all(0 <= r["score"] <= 1 for r in got)
 
 
@@ -82,6 +82,84 @@ def test_toxicity(tables, corpus):
     assert toxicity.score(docs, None).where("score <> 0").count() == 0
 
 
+def test_extra_columns_and_rows_that_repeat(spark, tables, corpus):
+    """Columns of names that operators use themselves change nothing; rows that repeat, null ids and nulls get the score of their text."""
+    docs, labels = tables
+    more = helpers.clashing(docs, "_text", "_lang", "_id", "_label", "_y", "score", "lang_pred", "anomaly", "_counts")
+    model = toxicity.fit(docs, labels)
+    assert Counter(map(tuple, toxicity.score(more, toxicity.fit(more, labels)).collect())) == Counter(map(tuple, toxicity.score(docs, model).collect()))
+    by_text = {}
+    for r in toxicity.score(docs, model, keep=("doc_id", "text")).collect():
+        by_text.setdefault(r["text"] or "", set()).add(r["score"])
+    assert all(len(s) == 1 for s in by_text.values())
+    spoken = langid.fit(docs, F.lit(True))
+    assert Counter((r["doc_id"], r["lang_pred"], r["score"]) for r in langid.identify(more, langid.fit(more, F.lit(True))).collect()) == Counter((r["doc_id"], r["lang_pred"], r["score"]) for r in langid.identify(docs, spoken).collect())
+    assert Counter(map(tuple, quality.quality_rules(more, labels).collect())) == Counter(map(tuple, quality.quality_rules(docs, labels).collect()))
+
+
+def test_bounded_samples(tables, corpus):
+    """A sample that is smaller than the labelled rows: the rows of least hash, whatever the order and partitions; models still work."""
+    from glossarion.llm.common import bounded_sample
+
+    docs, labels = tables
+    rows = labels.where("doc_id is not null and toxic is not null").select("doc_id")
+    some = [r[0] for r in bounded_sample(rows, "doc_id", 60).collect()]
+    hashed = [r[0] for r in rows.orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 1)).collect()]
+    assert some == hashed[:60] == [r[0] for r in bounded_sample(rows.repartition(7), "doc_id", 60).collect()]
+    model = langid.fit(docs, F.lit(True), sample=60)
+    assert langid.identify(docs, model, keep=("doc_id", "lang")).where("doc_id < 900 and doc_id <> 3 and lang = lang_pred").count() > 0.95 * 900
+    assert toxicity.score(docs, toxicity.fit(docs, labels, sample=200)).where("score is null").count() == 0
+
+
+def test_forest_against_plain_recursion():
+    """Path lengths and verdicts of the array form against trees that are walked row by row."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(400, 2)), [[9, 9], [-8, 7]]])
+    forest = quality.grow(x, trees=16, rows=64)
+
+    def depth(t, i, row):
+        c = forest.column[t, i]
+        return forest.value[t, i] if c < 0 else depth(t, forest.child[t, i] + int(row[c] >= forest.value[t, i]), row)
+
+    mean = np.array([np.mean([depth(t, 0, r) for t in range(16)]) for r in x])
+    assert np.allclose(forest.score(x), 2.0 ** (-mean / quality._usual(64)))
+    assert set(np.argsort(forest.score(x))[-2:]) == {400, 401}
+    good = rng.random(len(x)) < 0.9
+    limit, score = quality.threshold(forest.score(x), good), forest.score(x)
+    cost = lambda t: quality.GOOD_COST * (good & (score >= t)).sum() + (~good & (score < t)).sum()
+    assert cost(limit) == min(cost(t) for t in [*score, np.inf])
+
+
+def test_mixture_against_all_proportions():
+    """Expectation-maximisation of two languages against a search over all proportions, and the penalty against the count of words."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    like = np.exp(rng.normal(size=(80, 2)) * 2)
+    pi, ll = langid._mixture(like, np.array([0]), np.array([80]), np.array([[0.5, 0.5]]))
+    grid = np.linspace(0, 1, 2001)
+    every = np.log(like[:, :1] * grid + like[:, 1:] * (1 - grid)).sum(axis=0)
+    assert abs(ll[0] - every.max()) < 0.05 and abs(pi[0, 0] - grid[every.argmax()]) < 0.05
+
+
+def test_label_model_against_its_definition():
+    """The posterior of independent voters is Bayes' rule on the estimated tables."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    y = rng.random(3000) < 0.3
+    votes = np.column_stack([np.where(rng.random(3000) < 0.8, np.where(y, 1, -1), 0) for _ in range(3)]).astype(np.int8)
+    model = toxicity.label_model(votes, 0.3)
+    for row, got in zip(votes[:50], model.posterior(votes[:50]), strict=True):
+        one, none = 0.3, 0.7
+        for j, v in enumerate(row):
+            one *= np.exp(model.weight[j] * model.table[j, 1, v + 1])
+            none *= np.exp(model.weight[j] * model.table[j, 0, v + 1])
+        assert abs(got - one / (one + none)) < 1e-9
+
+
 def test_correlated_voters_count_less():
     import numpy as np
 
@@ -105,6 +183,8 @@ def brute(text):
 
 def test_rule_counts(spark):
     rows = helpers.documents()
+    x, y = helpers.thue_morse(10)
+    rows += [(3000, f"{x}\n{y}\n" + f"{x} {y} " * 9, "en", "s", 1), (3001, "\n".join([x, y, x]), "en", "s", 1)]
     rng = random.Random(9)
     alphabet = "ab \n\t#$é日|.\x0b\x1c"
     rows += [(2000 + k, "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 200))), "en", "s", 1) for k in range(300)]

@@ -41,6 +41,30 @@ def test_packing(spark):
     assert packing.pack(spark.createDataFrame([], helpers.DDL), path).count() == 0
 
 
+def test_long_white_space_and_extra_columns(spark):
+    """Runs on which the fast encoder's pattern engine fails; columns of names that packing uses itself."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, encode = Tokenizer.from_file(path), packing.encoder(path, special=True)
+    for t in (" " * 300_000 + "a", "\n" * 200_000, "a" + " \t" * 9_999 + "b", "b" * 50_000):
+        assert encode(t).tolist() == lib.encode(t, add_special_tokens=False).ids
+    docs = spark.createDataFrame(helpers.documents()[:50], helpers.DDL)
+    more = helpers.clashing(docs, "_text", "ids", "n", "part", "before", "_base", "at")
+    one, two = (sorted(map(tuple, packing.pack(x.coalesce(1), path).collect()), key=str) for x in (docs, more))
+    assert one == two
+    spoken = public_tokenizers.path("piece_bpe_32k.model")
+    assert sorted(map(tuple, spm.encode(more, spoken).collect()), key=str) == sorted(map(tuple, spm.encode(docs, spoken).collect()), key=str)
+
+
+def test_pairs_of_pieces_stay_apart_as_merging_says():
+    m = spm.model(public_tokenizers.path("piece_bpe_32k.model"))
+    rng, pieces = random.Random(2), sorted(m.usable)
+    seen = [p for w in m.lib.encode(texts(), out_type=str) for p in zip(w, w[1:])]
+    for a, b in [(rng.choice(pieces), rng.choice(pieces)) for _ in range(5000)] + [(a, b) for a, b in seen if a in m.usable and b in m.usable]:
+        assert m.apart(a, b) == (m._merge(a + b) == [a, b])
+
+
 def test_other_tokenizers_run_as_they_are():
     from tokenizers import Tokenizer
 
@@ -190,6 +214,16 @@ def test_template_language():
     assert [p for p in chat.compile_template("{% generation %}g{% endgeneration %}h")([]) if p[0]] == [("g", True), ("h", False)]
 
 
+def test_template_strings_may_hold_ends_of_tags():
+    assert render("{{ '}}' }}{{ \"%}\" }}{% if 'a%}' == 'a%}' %}x{% endif %}") == "}}%}x"
+
+
+@pytest.mark.parametrize("bad", ["{{" + "(" * 5000 + "1" + ")" * 5000 + "}}", "{{ " + "+".join("1" * 3000) + " }}", "{% if true %}" * 2000 + "{% endif %}" * 2000, "{{" + "not " * 900 + "1}}"])
+def test_deep_templates_are_refused(bad):
+    with pytest.raises(chat.TemplateError, match="deeply"):
+        chat.compile_template(bad)
+
+
 @pytest.mark.parametrize("bad", ["{% for x %}", "{{ f() }}", "{{ a | eval }}", "{% if a %}", "{{ 'a }}", "{% endfor %}", "{{ }}", "{{ a b }}", "{% import os %}"])
 def test_template_is_a_sandbox(bad):
     with pytest.raises(chat.TemplateError):
