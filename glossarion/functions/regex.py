@@ -30,25 +30,59 @@ def plain(text: Column) -> Column:
     return F.translate(text, _OPEN + _CLOSE, "\u0003\u0003")
 
 
+#: Parts of a text whose offsets are added up in one fold; even, so that each run of parts begins with one that is no match.
+_RUN = 64
+
+
+def _parts(text: Column, pattern: str) -> Column:
+    """``text`` cut at both ends of each match of ``pattern``: every second part is a match."""
+    return F.split(F.regexp_replace(plain(text), pattern, _OPEN + "$0" + _CLOSE), f"[{_OPEN}{_CLOSE}]", -1)
+
+
 def spans(text: Column, pattern: str) -> Column:
     """All matches of ``pattern`` from left to right without overlap: array of (start, end, value). Null gives null.
 
-    Marks are put around the matches and the text is split there: every second part is a match, and lengths add up to offsets.
+    Marks are put around the matches and the text is split there, and the parts' lengths add up to offsets. A fold copies its array with
+    every match, so parts are folded in short runs, from the offsets at which the runs begin, and the runs' results are joined once.
     """
-    parts = F.split(F.regexp_replace(plain(text), pattern, _OPEN + "$0" + _CLOSE), f"[{_OPEN}{_CLOSE}]", -1)
-    state = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.expr(f"cast(array() as {SPAN})").alias("out"))
 
     def step(acc: Column, part: Column) -> Column:
         end = acc["at"] + F.length(part)
         found = F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("value"))
         return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(parts, state, step, lambda acc: acc["out"])
+    def fold(run: Column, at: Column) -> Column:
+        return F.aggregate(run, F.struct(at.alias("at"), F.lit(False).alias("hit"), F.expr(f"cast(array() as {SPAN})").alias("out")), step, lambda acc: acc["out"])
+
+    def runs(parts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / _RUN).cast("int")), lambda k: F.slice(parts, k * _RUN + 1, F.lit(_RUN)))
+
+    def joined(found: Column) -> Column:
+        sizes = F.transform(found, lambda run: F.aggregate(run, F.lit(0), lambda n, part: n + F.length(part)))
+        begins = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return let(begins, lambda at: F.flatten(F.transform(found, lambda run, k: fold(run, F.get(at, k)))))
+
+    parts = _parts(text, pattern)
+    return F.when(text.isNotNull(), let(parts, lambda p: F.when(F.size(p) <= _RUN, fold(p, F.lit(0))).otherwise(let(runs(p), joined))))
+
+
+def neighbours(text: Column, pattern: str) -> Column:
+    """All matches with the characters beside them: array of (before, value, after); a character that isn't there is empty."""
+
+    def around(parts: Column) -> Column:
+        one = lambda p, i: F.struct(F.right(F.get(parts, i - 1), F.lit(1)).alias("before"), p.alias("value"), F.left(F.get(parts, i + 1), F.lit(1)).alias("after"), (i % 2 == 1).alias("hit"))
+        return F.filter(F.transform(parts, one), lambda x: x["hit"])
+
+    return F.when(text.isNotNull(), let(_parts(text, pattern), around))
+
+
+def token_pattern(least: int = 1) -> str:
+    return rf"{BORDER}[{WORD}-]{{{max(least, 1)},}}{BORDER}"
 
 
 def tokens(text: Column, least: int = 1) -> Column:
     """Words of at least ``least`` word characters or hyphens between word borders, as ``spans`` gives them."""
-    return spans(text, rf"{BORDER}[{WORD}-]{{{max(least, 1)},}}{BORDER}")
+    return spans(text, token_pattern(least))
 
 
 def char_at(text: Column, index: Column) -> Column:
