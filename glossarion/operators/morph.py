@@ -58,11 +58,19 @@ def guarded(token: Column, term: Column, a: Column, b: Column) -> Column:
     return F.coalesce(inflection_drift(token, term, a, b), F.lit(False)) | (drift & ((F.length(token) <= 3) | F.coalesce(a["pos"].isin(*FUNCTION_WORDS), F.lit(False))))
 
 
+def pair_decisions(pairs: dict[str, str], morph: DataFrame) -> dict[str, str]:
+    """The gate's decision for each token of a map and its replacement; as many rows come to the driver as the map has entries."""
+    if not pairs:
+        return {}
+    rows = morph.sparkSession.createDataFrame([(a, "generated", b) for a, b in sorted(pairs.items())], "token string, status string, term string")
+    return {r["token"]: "unknown" if r["gate"] is None else r["gate"] for r in decisions(rows, morph, True).select("token", "gate").collect()}
+
+
 def decisions(hints: DataFrame, morph: DataFrame, primary: bool) -> DataFrame:
-    """``hints`` (token, status, term) with morph: guard, blocked, unknown, allowed or null."""
+    """``hints`` (token, status, term) with gate (blocked, unknown, allowed or null) and morph: guard, or what the gate says."""
     best = morph.groupBy("form").agg(F.bool_or("is_known").alias("known"), F.max("score").alias("score"), F.max_by(F.struct("pos", "lemma", "grammemes"), "score").alias("first"))
     a, b = (best.select(F.col("form").alias(f"_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("known", "score", "first")]) for x in "ab")
     both = hints.join(a, hints["token"] == a["_a"], "left").join(b, F.col("term") == F.col("_b"), "left")
     block = F.col("first_a").isNotNull() & F.col("first_b").isNotNull() & guarded(F.col("token"), F.col("term"), F.col("first_a"), F.col("first_b"))
     gate = decision(F.col("known_a"), F.col("score_a"), F.col("known_b"), F.col("score_b")) if primary else F.lit(None).cast("string")
-    return both.select("token", "status", "term", F.when(F.coalesce(block, F.lit(False)), "guard").otherwise(gate).alias("morph"))
+    return both.select("token", "status", "term", gate.alias("gate"), F.when(F.coalesce(block, F.lit(False)), "guard").otherwise(gate).alias("morph"))

@@ -100,19 +100,24 @@ def eligible(text: Column, least: int, untouched: frozenset[str], prefixes: tupl
     return F.when(text.rlike(f"[{letters}]"), let(text, found)).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)"))
 
 
-def outcomes(found: Column, typo_map: dict[str, str], suggestions: Column | None, shadow: bool, letters: str = LETTERS) -> Column:
-    """What becomes of each eligible token: array of (start, end, before, after, source, reason).
+def outcomes(found: Column, typo_map: dict[str, str], suggestions: Column | None, shadow: bool, letters: str = LETTERS, gate: dict[str, str] | None = None) -> Column:
+    """What becomes of each eligible token: array of (start, end, before, after, source, reason, morph).
 
     Sources in order: the typo map, the safe tokens (only with candidates), a suggestion, which is a map from token to (status, term,
     morph). Reasons: apply, none, same, unsafe, no_result, ambiguous, plural_drop, guard, morph_blocked, morph_unknown, shadow.
+    The morphological decision is about the token and what replaces it: ``gate`` has it for each token of the maps (None: no gate), a
+    suggestion brings its own.
     """
     maps = literal_map(typo_map)
     safe = literal_map(SAFE_TOKENS if suggestions is not None else {})
+    judged_pairs = literal_map(gate or {})
 
     def after(token: Column, hint: Column | None, listed: Column) -> Column:
         status = F.coalesce(hint["status"], F.lit("rejected")) if hint is not None else F.lit("none")
         term = F.coalesce(listed, F.when(status == "generated", hint["term"])) if hint is not None else listed
-        return F.struct(status.alias("status"), term.alias("term"), listed.isNull().alias("generated"), (hint["morph"] if hint is not None else F.lit(None).cast("string")).alias("morph"))
+        own = F.when(listed.isNotNull(), judged_pairs[token])
+        morph = F.when(listed.isNull(), hint["morph"]).otherwise(own) if hint is not None else own
+        return F.struct(status.alias("status"), term.alias("term"), listed.isNull().alias("generated"), morph.alias("morph"))
 
     def one(t: Column) -> Column:
         token = t["value"]
@@ -130,7 +135,7 @@ def outcomes(found: Column, typo_map: dict[str, str], suggestions: Column | None
                 .when(x["generated"] & F.lit(shadow), "shadow")
                 .otherwise("apply")
             )
-            return F.struct(t["start"].alias("start"), t["end"].alias("end"), token.alias("before"), x["term"].alias("after"), F.when(x["generated"], "generator").otherwise("map").alias("source"), reason.alias("reason"))
+            return F.struct(t["start"].alias("start"), t["end"].alias("end"), token.alias("before"), x["term"].alias("after"), F.when(x["generated"], "generator").otherwise("map").alias("source"), reason.alias("reason"), x["morph"].alias("morph"))
 
         return let(after(token, suggestions[token] if suggestions is not None else None, listed), judged)
 
@@ -157,6 +162,7 @@ def counters(results: Column) -> dict[str, Column]:
         "candidate_ambiguous_tie_count": n("ambiguous"),
         "candidate_shadow_skipped_count": n("shadow"),
         "morph_blocked_count": every("morph_blocked"),
+        "morph_allowed_count": F.size(F.filter(results, lambda r: r["reason"].isin("apply", "shadow") & (r["morph"] == "allowed"))),
         "morph_unknown_count": every("morph_unknown"),
     }
 

@@ -31,6 +31,8 @@ class Context:
     config: Config
     #: map column from token to (status, term, morph), where candidates are on
     suggestions: str | None = None
+    #: morphological decision for each token of the typo maps, where that is asked for
+    gate: dict[str, str] | None = None
 
 
 Stage = Callable[[DataFrame, Context], DataFrame]
@@ -99,7 +101,7 @@ def s3_spelling(df: DataFrame, ctx: Context) -> DataFrame:
     if typo_map or generate:
         untouched = rules.no_touch(mode) | ctx.config.lexicon.untouched()
         df = df.withColumn("_found", spelling.eligible(text, rules.typo_min_token_len, untouched, rules.no_touch_prefixes()))
-        df = df.withColumn("_exits", spelling.outcomes(F.col("_found"), typo_map, F.col(ctx.suggestions) if generate else None, rules.candidate_shadow_mode_ru))
+        df = df.withColumn("_exits", spelling.outcomes(F.col("_found"), typo_map, F.col(ctx.suggestions) if generate else None, rules.candidate_shadow_mode_ru, gate=ctx.gate))
         df = df.withColumns({"_n": _count(**spelling.counters(F.col("_exits"))), "_edits": spelling.edits(F.col("_exits"))})
         if not typo_map:  # pairs are corrected only where no map is set and no token was
             df = df.withColumn("_edits", F.when(F.size("_edits") > 0, F.col("_edits")).otherwise(spelling.digraph_edits(text)))

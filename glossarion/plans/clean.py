@@ -9,8 +9,7 @@ from ..config import Config, policy
 from ..functions import udfs
 from ..operators import stages, spelling
 from ..operators.candidates import suggest
-
-
+from ..operators.morph import decisions, pair_decisions
 
 def bounds(text: Column, max_chars: int = 20_000) -> Column:
     """``empty``, ``too_long`` or ``ok``."""
@@ -22,7 +21,8 @@ def body_too_large(text: Column, max_bytes: int = 1_048_576) -> Column:
 
 
 def clean(df: DataFrame, mode: str = "smart", config: Config = Config(), text: str = "text", dictionary: DataFrame | None = None, morph: DataFrame | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` with clean_text and audit (a struct without any text), and edits (applied and rejected).
+    """``df`` with clean_text and audit (a struct without any text), and edits (applied and rejected); its other columns pass through, whatever
+    their names, and a column of one of these three names is an error.
 
     ``dictionary`` (term, rank) is used where the configuration turns candidates on, and ``morph`` (form, is_known, score, pos, lemma,
     grammemes) for its guards. ``extra`` stages run before the first guardrails. Nulls are cleaned as empty texts. Candidates are looked
@@ -30,15 +30,22 @@ def clean(df: DataFrame, mode: str = "smart", config: Config = Config(), text: s
     """
     rules, chosen = config.rulepack, policy(mode, config)
     generate = chosen.mode == "smart" and rules.enable_candidate_generation_ru
-    df = stages.start(df, text)
+    names = df.columns
+    if taken := {"clean_text", "audit", "edits"} & set(names):
+        raise ValueError(f"the table has columns that cleaning adds: {sorted(taken)}")
+    df = stages.start(df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).alias("raw")), "raw").drop("raw")
+    gate = None
+    if rules.enable_morph_safety_ru and morph is not None:
+        mapped = rules.typo_map(chosen.mode)
+        gate = pair_decisions({**(spelling.SAFE_TOKENS if generate else {}), **{k: v for k, v in mapped.items() if v}}, morph)
     if generate:
         if dictionary is None:
             raise ValueError("candidate generation needs a dictionary")
         df = _with_suggestions(df, config, dictionary, morph)
-    ctx = stages.Context(chosen, config, "_suggested" if generate else None)
-    names = list(chosen.stages)
-    at = names.index("s6_guardrails") if "s6_guardrails" in names else len(names)
-    for stage in [*stages.build(tuple(names[:at])), *stages.build(extra), *stages.build(tuple(names[at:])), stages.final_guardrails]:
+    ctx = stages.Context(chosen, config, "_suggested" if generate else None, gate)
+    steps = list(chosen.stages)
+    at = steps.index("s6_guardrails") if "s6_guardrails" in steps else len(steps)
+    for stage in [*stages.build(tuple(steps[:at])), *stages.build(extra), *stages.build(tuple(steps[at:])), stages.final_guardrails]:
         df = stages.settled(stage(df, ctx))
     share = F.round(F.least(F.greatest(udfs.changed_ratio(F.col("_raw"), F.col("_text")), F.lit(0.0)), F.lit(1.0)), 6)
     audit = F.struct(
@@ -53,7 +60,7 @@ def clean(df: DataFrame, mode: str = "smart", config: Config = Config(), text: s
         F.lit(rules.v2_selector_scaffold_enabled).alias("v2_selector_scaffold_enabled"),
         F.lit(rules.v2_selector_scaffold_enabled).alias("v2_selector_scaffold_available"),
     )
-    return df.withColumns({"clean_text": F.col("_text"), "audit": audit, "edits": F.struct(F.col("_applied").alias("applied"), F.col("_rejected").alias("rejected"))}).drop(*stages.WORKING, "_suggested")
+    return df.select("row.*", F.col("_text").alias("clean_text"), audit.alias("audit"), F.struct(F.col("_applied").alias("applied"), F.col("_rejected").alias("rejected")).alias("edits"))
 
 
 def _with_suggestions(df: DataFrame, config: Config, dictionary: DataFrame, morph: DataFrame | None) -> DataFrame:
@@ -63,18 +70,18 @@ def _with_suggestions(df: DataFrame, config: Config, dictionary: DataFrame, morp
     flags = rules.safe_normalize
     norm = stages.normalized(F.col("_text"), flags.collapse_spaces, flags.trim_line_edges, flags.collapse_blank_lines)
     found = F.array_distinct(F.transform(spelling.eligible(norm, rules.typo_min_token_len, untouched, rules.no_touch_prefixes()), lambda t: t["value"]))
-    per_text = df.select("_text").where(F.col("_text").rlike(f"[{spelling.LETTERS}]")).distinct().select("_text", F.explode(found).alias("_token"))
+    # texts are known by a digest, so only digests and tokens are shuffled to make the maps
+    digest = F.sha2(F.col("_text").cast("binary"), 256)
+    per_text = df.where(F.col("_text").rlike(f"[{spelling.LETTERS}]")).select(digest.alias("_of"), F.explode(found).alias("_token")).distinct()
     hints = suggest(per_text.select(F.col("_token").alias("token")).distinct(), dictionary, rules.candidate_backend, rules.max_candidates_ru, rules.max_edit_distance_ru)
     if morph is not None:
-        from ..operators.morph import decisions
-
         hints = decisions(hints, morph, rules.enable_morph_safety_ru)
     else:
         hints = hints.withColumn("morph", F.lit(None).cast("string"))
     entry = F.struct(F.col("token"), F.struct("status", "term", "morph"))
-    maps = per_text.join(hints, per_text["_token"] == hints["token"]).groupBy("_text").agg(F.map_from_entries(F.collect_list(entry)).alias("_suggested")).withColumnRenamed("_text", "_of")
+    maps = per_text.join(hints, per_text["_token"] == hints["token"]).groupBy("_of").agg(F.map_from_entries(F.collect_list(entry)).alias("_suggested"))
     nothing = F.expr("cast(map() as map<string,struct<status:string,term:string,morph:string>>)")
-    return df.join(maps, F.col("_text") == F.col("_of"), "left").withColumn("_suggested", F.coalesce("_suggested", nothing)).drop("_of")
+    return df.withColumn("_digest", digest).join(maps, F.col("_digest") == F.col("_of"), "left").withColumn("_suggested", F.coalesce("_suggested", nothing)).drop("_of", "_digest")
 
 
 def events(cleaned: DataFrame, mode: str) -> DataFrame:

@@ -242,3 +242,43 @@ def test_configuration(tmp_path):
             config.from_mapping(bad)
     with pytest.raises(config.ConfigError):
         config.load(tmp_path / "none.yml")
+
+
+@pytest.mark.parametrize("candidates", [False, True])
+def test_the_gate_judges_what_replaces_a_mapped_token(spark, candidates):
+    """Blocked where the token is a good word, allowed where the replacement is clearly better, unknown else; with candidates and without."""
+    rules = {"typo_map_smart_ru": {"слово": "злово", "каровва": "корова", "нечто": "ничто"}, "enable_morph_safety_ru": True}
+    rules |= {"enable_candidate_generation_ru": True, "candidate_backend": "symspell"} if candidates else {}
+    readings = [("слово", True, 0.9), ("злово", True, 0.5), ("каровва", False, 0.1), ("корова", True, 0.8)]
+    morph = spark.createDataFrame([(f, k, s, "NOUN", f, ["sing"]) for f, k, s in readings], "form string, is_known boolean, score double, pos string, lemma string, grammemes array<string>")
+    words = spark.createDataFrame([("совсем", 0)], "term string, rank int")
+    text = "слово каровва нечто и ещё много других слов без ошибок в этом длинном тексте для проверки"
+    r = clean(spark.createDataFrame([(text,)], "text string"), "smart", config.from_mapping({"rulepack": rules}), dictionary=words if candidates else None, morph=morph).first()
+    assert r["clean_text"] == text.replace("каровва", "корова")
+    assert (r["audit"]["morph_blocked_count"], r["audit"]["morph_allowed_count"], r["audit"]["morph_unknown_count"]) == (1, 1, 1)
+
+
+def test_columns_of_the_table_survive(spark):
+    names = ["_text", "_raw", "_n", "row", "raw", "_zones", "_suggested", "_digest"]
+    df = spark.createDataFrame([("a  b", *names)], ", ".join(f"`{n}` string" for n in ["text", *names]))
+    r = clean(df, "smart").first()
+    assert r["clean_text"] == "a b" and [r[n] for n in names] == names
+    with pytest.raises(ValueError):
+        clean(df.withColumnRenamed("row", "audit"))
+
+
+def test_long_texts_and_many_matches(spark):
+    """Matches on both sides of the borders at which offsets are added up anew."""
+    for n in (0, 1, 31, 32, 33, 63, 64, 65, 200):
+        text = "x" + " 12 é" * n
+        got = spark.createDataFrame([(text,)], "t string").select(regex.spans(F.col("t"), "[0-9]+").alias("s"), regex.neighbours(F.col("t"), "[0-9]+").alias("n")).first()
+        want = [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]+", text)]
+        assert [tuple(s) for s in got["s"]] == want
+        assert [(s["before"], s["value"], s["after"]) for s in got["n"]] == [(text[a - 1], v, text[b : b + 1]) for a, b, v in want]
+    assert spark.createDataFrame([(None,)], "t string").select(regex.spans(F.col("t"), "a").alias("s")).first()["s"] is None
+
+
+def test_pairs_that_are_never_written():
+    """All pairs of a hushing consonant and a vowel, in lower, title and upper case, and what they become."""
+    lower = {"жы": "жи", "шы": "ши", "чя": "ча", "щя": "ща", "жя": "жа", "чю": "чу", "щю": "щу", "жю": "жу", "шю": "шу"}
+    assert spelling.digraphs() == lower | {k.title(): v.title() for k, v in lower.items()} | {k.upper(): v.upper() for k, v in lower.items()}
