@@ -70,14 +70,34 @@ def pilot_cases(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(row.alias("r")).select("r.*")
 
 
+def _strict(spark: SparkSession, path: str, schema: str, required: tuple[str, ...], what: str) -> DataFrame:
+    """JSON lines of ``schema`` (strings). A line that is no JSON object, a value that is no string, or a required one that is missing or
+    empty, is an error; so is a file without rows. Blank lines are skipped; other keys are not read."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    raw = spark.read.text(path).where(F.trim("value") != "")
+    # a line is parsed once as a variant, which knows the kind of each value
+    value = F.try_parse_json("value")
+    kind = F.schema_of_variant(value)
+    row = raw.select(value.alias("v"), kind.alias("k"))
+    fields = {n: F.expr(f"try_variant_get(v, '$.{n}', 'string')") for n in names}
+    shape = {n: F.coalesce(F.expr(f"schema_of_variant(try_variant_get(v, '$.{n}', 'variant'))"), F.lit("VOID")) for n in names}
+    ok = F.coalesce(F.startswith("k", F.lit("OBJECT")), F.lit(False))
+    for n in names:
+        ok = ok & (shape[n].isin("STRING") & (fields[n] != "") if n in required else shape[n].isin("STRING", "VOID"))
+    checked = row.select(F.when(ok, F.struct(*[fields[n].alias(n) for n in names])).otherwise(F.raise_error(F.lit(f"a line is no {what}")).cast(", ".join(f"{n}: string" for n in names).join(["struct<", ">"]))).alias("r"))
+    return _not_empty(checked.select("r.*"), what)
+
+
 def review_cases(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.schema("input_text string, expected_clean_text string, source string, category string").json(path)
+    """Cases for review; a source that isn't given is ``custom_jsonl``."""
+    raw = _strict(spark, path, "input_text string, expected_clean_text string, source string, category string", ("input_text",), "review case")
     return raw.withColumn("source", F.coalesce("source", F.lit("custom_jsonl")))
 
 
 def gold_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Raw gold rows (source, correction, domain) as cases."""
-    return spark.read.schema("source string, correction string, domain string").json(path).select(F.col("source").alias("input_text"), F.col("correction").alias("expected_clean_text"), "domain")
+    """Raw gold rows (source, correction, domain) as cases; the correction may be empty."""
+    raw = _strict(spark, path, "source string, correction string, domain string", ("source",), "gold row")
+    return raw.select(F.col("source").alias("input_text"), _or_fail(F.col("correction"), F.col("correction").isNotNull(), "a line is no gold row").alias("expected_clean_text"), "domain")
 
 
 def _numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
