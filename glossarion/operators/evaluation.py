@@ -40,6 +40,12 @@ def mode_summary(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(n.alias("total_cases"), *[F.count_if(c).alias(f"{c}_count") for c in names], rate(F.count_if("exact_match"), n).alias("exact_match_rate"))
 
 
+def melted(row: DataFrame, names: tuple[str, ...], key: str, value: str = "n") -> DataFrame:
+    """A row of counts as rows (``key``, ``value``)."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias(key), F.col(n).alias(value)) for n in names]))
+    return row.select(pairs.alias("_p")).select(f"_p.{key}", f"_p.{value}")
+
+
 def unpivoted(rows: DataFrame, outputs: dict[str, str], keep: list[str]) -> DataFrame:
     """One row for each mode: ``outputs`` maps modes to output columns."""
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(c).alias("output")) for m, c in outputs.items()]))
@@ -166,20 +172,6 @@ def coverage(tokens: DataFrame, case: str = "case_id") -> DataFrame:
     return per_case.agg(n.alias("cases"), F.count_if("any").alias("cases_any"), F.count_if("gold").alias("cases_gold"), rate(F.count_if("gold"), n).alias("gold_rate"), F.sum("n").alias("tokens"), F.sum("na").alias("tokens_any"), F.sum("ng").alias("tokens_gold"))
 
 
-def noise_flags(token: Column, text: Column) -> dict[str, Column]:
-    """Shapes that make retrieval hard, of a token and of its text."""
-    return {
-        "mixed_alnum": token.rlike(r"\p{L}") & token.rlike(r"\p{Nd}"),
-        "wrapper": token.rlike(r"^[`*_~|<>{}\[\]()\"'#@]|[`*_~|<>{}\[\]()\"']$"),
-        "latin": token.rlike("[A-Za-z]"),
-        "elongated": token.rlike(r"(.)\1\1"),
-        "text_marks": text.rlike("[!?]{2,}"),
-        "text_capitals": (text == F.upper(text)) & text.rlike(r"\p{L}"),
-        "text_digits": text.rlike(r"\p{Nd}"),
-        "text_line_breaks": F.contains(text, F.lit("\n")),
-    }
-
-
 def root_cause(shape_ok: Column, has_candidate: Column, gold_in_top_k: Column, selected_gold: Column, wrapper: Column, mixed: Column) -> Column:
     """Why a changed token didn't become the expected one; ``selected`` if it did."""
     return (

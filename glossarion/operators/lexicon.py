@@ -66,6 +66,17 @@ def top_k(tokens: DataFrame, terms: DataFrame, k: int = 5, distance: int = 2, no
     return merged.withColumn("position", F.row_number().over(order) - 1).where(F.col("position") < k)
 
 
+def fallback(tokens: DataFrame, terms: DataFrame, k: int = 5, distance: int = 2) -> DataFrame:
+    """token, term, distance and position of the best ``k`` keys by plain Levenshtein distance, in which a swap of neighbours is two edits; a
+    token whose key is in the lexicon has none. Words that close share a deletion, so the join is that of ``top_k``."""
+    keys = tokens.select("token", key(F.col("token")).alias("_key")).distinct()
+    lexical = index(terms)
+    unknown = keys.join(lexical.select("term"), F.col("_key") == F.col("term"), "left_anti")
+    near = within(unknown.select(F.col("_key").alias("token")), lexical, distance).select(F.col("token").alias("_k"), "term", F.levenshtein("token", "term").alias("distance")).where(F.col("distance") <= distance)
+    order = Window.partitionBy("token").orderBy("distance", F.abs(F.length("term") - F.length("_key")), "term")
+    return unknown.join(near, F.col("_key") == F.col("_k")).withColumn("position", F.row_number().over(order) - 1).where(F.col("position") < k).select("token", "term", "distance", "position")
+
+
 def base_score(distance: Column, position: Column) -> Column:
     return -(distance + 0.15 * position)
 

@@ -497,3 +497,6 @@ def heuristic_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = _values(spark, "(1, 'белая карова и моолоко'), (2, 'корава'), (3, '(карова)')", "case_id int, text string")
     terms = _values(spark, "('корова', 0), ('молоко', 1), ('короба', 2), ('кот', 3)", "term string, rank int")
     return rerank.heuristic_replay(cases, terms).select("case_id", "output", "applied")
+
+
+from . import derived_queries  # noqa: E402, F401  registers more

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossarion.functions.udfs import indel_ratio, osa
-from glossarion.operators import candidates, evaluation, lexicon, morph, ngrams, ranks, rerank, review, selector
+from glossarion.operators import audit, candidates, evaluation, lexicon, morph, ngrams, ranks, rerank, review, selector
 from glossarion.sources import cases, sinks
 from glossarion.streaming.clean import start_clean
 
@@ -282,3 +282,69 @@ def test_words_of_all_scripts_and_counts(spark, tmp_path):
         if a != b:
             best.setdefault(a, []).append((rank[b], b))
     assert {r["token"]: (r["term"], r["distance"], r["ambiguous"]) for r in queries.best_words(spark, str(tmp_path)).collect()} == {a: (min(x)[1], 1, len(x) > 1) for a, x in best.items()}
+
+
+def test_readers_refuse_malformed_lines(spark, tmp_path):
+    path = str(tmp_path / "lines.jsonl")
+    for read, good, bad in (
+        (cases.review_cases, '{"input_text": "a", "x": [1]}', ['{"input_text": ""}', '{"input_text": 5}', "{bad", "[1]", '{"x": 1}', '{"input_text": "a", "source": 3}', '"s"', '{"input_text": "a", "category": {}}']),
+        (cases.gold_corpus, '{"source": "a", "correction": "", "domain": null}', ['{"source": "a"}', '{"correction": "b"}', '{"source": "", "correction": "b"}', '{"source": "a", "correction": "b", "domain": 7}', "{"]),
+    ):
+        write(tmp_path / "lines.jsonl", good + "\n\n" + good)
+        assert read(spark, path).count() == 2
+        for line in bad:
+            write(tmp_path / "lines.jsonl", good + "\n" + line)
+            with pytest.raises(Exception, match="a line is no"):
+                read(spark, path).collect()
+        write(tmp_path / "lines.jsonl", "\n")
+        with pytest.raises(ValueError):
+            read(spark, path)
+
+
+def test_root_causes(spark):
+    rows = [
+        (1, "мама мыла рамму", "мама мыла раму", "мама мыла раму"), (2, "мама «карова»!! тут", "мама «корова»!! тут", "мама «карова»!! тут"), (3, "слово  сабака2", "слово  собака2", "слово  сабака2"),
+        (4, "два слова", "двас лова вот", "два слова"), (5, "так", "так", "как"), (6, "*щетка*", "*щётка*", "*щетка*"), (7, "кяяяяк", "как", "кяяяяк"),
+    ]
+    terms = spark.createDataFrame([("рама", 0), ("раму", 1), ("корова", 2), ("собака", 3), ("корона", 4), ("щётка", 5)], "term string, rank int")
+    got = audit.root_causes(spark.createDataFrame(rows, "case_id int, input_text string, expected_clean_text string, clean_text string"), terms)
+    by = {(r["case_id"], r["token"]): r for r in got.collect()}
+    assert {k: r["status"] for k, r in by.items()} == {
+        (1, "рамму"): "selected", (2, "карова"): "gold_present_in_topk_but_not_selected", (3, "сабака2"): "token_rejected_before_retrieval", (4, None): "segmentation_tokenization_mismatch",
+        (6, "щетка"): "selected", (7, "кяяяяк"): "other",
+    }
+    r = by[2, "карова"]
+    assert r["quote_bracket_adjacency"] and r["punctuation_adjacency"] and r["repeated_punctuation"] and not r["wrapper_no_touch_style"] and by[6, "щетка"]["wrapper_no_touch_style"] and by[3, "сабака2"]["missing_extra_spaces"]
+    slices = [(r["slice"], r["count"], round(r["rate"], 3)) for r in audit.cause_slices(got).collect()]
+    assert slices == [("gold_present_in_topk_but_not_selected", 1, 0.2), ("other", 1, 0.2), ("segmentation_tokenization_mismatch", 1, 0.2), ("token_rejected_before_retrieval", 1, 0.2)]
+    assert audit.noise_breakdown(got).where("noise = 'repeated_punctuation' and status = 'any'").first()["n"] == 1
+    assert audit.normalization_lifts(got).first()["baseline_gold_in_topk"] == 3
+
+
+def test_fallback_counts_a_swap_as_two(spark):
+    words = spark.createDataFrame([("весан",), ("дом",), ("Рамa",)], "token string")
+    terms = spark.createDataFrame([("весна", 0), ("дом", 1), ("том", 2), ("молоко", 3)], "term string, rank int")
+    assert [tuple(r) for r in lexicon.fallback(words, terms, 5, 2).orderBy("token", "position").collect()] == [("весан", "весна", 2, 0)]
+    assert lexicon.fallback(words, terms, 5, 1).count() == 0
+
+
+def test_harness_and_token_replay(spark):
+    rows = spark.createDataFrame([(1, "карова тут", "корова тут"), (2, "дом", "дом"), (3, "сабака", "собака")], "case_id int, input_text string, expected_clean_text string")
+    terms = spark.createDataFrame([("корова", 0), ("собака", 1), ("дом", 2), ("тут", 3)], "term string, rank int")
+    got = {r["mode"]: r for r in audit.harness(rows, terms, modes=("baseline", "symspell_shadow", "symspell_apply")).collect()}
+    assert [got[m]["exact_match_pass_count"] for m in ("baseline", "symspell_shadow", "symspell_apply")] == [1, 1, 3]
+    assert [got[m]["candidate_applied_total"] for m in got if m != "symspell_apply"] == [0, 0] and got["symspell_shadow"]["candidate_shadow_skipped_total"] == got["symspell_apply"]["candidate_applied_total"] == 2
+    lines = audit.baseline_report(audit.harness(rows, terms, modes=("baseline", "symspell_apply")).withColumn("corpus", F.lit("inline")))
+    assert lines[-2:] == ["- lift on every corpus: yes", "- safe on every corpus: yes"] and "## inline" in lines
+    found = spark.createDataFrame([("ab", "ax", 5, 0), ("ab", "ay", 3, 1), ("cd", "cd", 0, 0)], "token string, candidate string, rank int, position int")
+    tokens = spark.createDataFrame([("1", " ab ", "ax"), ("2", "cd", "cd"), ("3", "ef", "gh")], "case_id string, input_text string, expected_clean_text string")
+    best = lambda k, scorer: {r["case_id"]: (r["best"], r["reason"]) for r in audit.token_replay(tokens, found, scorer, k).collect()}
+    assert best(5, "rank") == {"1": ("ax", "apply_candidate"), "2": ("cd", "original_wins"), "3": ("ef", "original_wins")}
+    assert best(5, "reverse_rank")["1"] == ("ab", "original_wins") and best(2, "reverse_rank")["1"] == ("ay", "apply_candidate")  # a full list has no original
+    with pytest.raises(ValueError):
+        audit.token_replay(tokens, found, k=0)
+    assert audit.challenger("lm") == ("reverse_rank", "the language model's path is missing") and audit.challenger("lm", "m") == ("lm", None) and audit.challenger("heuristic")[0] == "context"
+    assert audit.scorer_source({"scorer_type": "lm", "training_corpus_path": "a"}, "b") == ("corpus", "a")
+    for config in ({"scorer_type": "x"}, {"scorer_type": "lm"}, {"scorer_type": "lm", "training_corpus_path": "b"}):
+        with pytest.raises(ValueError):
+            audit.scorer_source(config, "b")
