@@ -1,6 +1,8 @@
 """A pipeline from raw documents to packed sequences; part of the package ``llm``.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next stage's docs.
+Columns of the table other than those of ``documents`` are not read; an empty table goes through all stages and gives no piece. What a
+stage does with nulls and with rows that repeat is said where it differs from its operator.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossarion.llm import exact_dedup, langid, minhash, packing, suffix_dedup
+from glossarion.llm.common import checkpoint_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 NEAR_PERCENT = 80
@@ -39,12 +42,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 200 bytes that stand in two places go from the texts; the documents stay."""
+    """Strings of 200 bytes that stand in two places go from the texts; the documents stay, those that are left without any text too."""
     return suffix_dedup.suffix_dedup(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of 2048-token sequences."""
+    """Pieces of 2048-token sequences; a document without text is its end id."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), special=True)
@@ -58,12 +61,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not home:
-        from glossarion.llm.common import prepare
-
-        prepare(spark)
-        home = spark.sparkContext.getCheckpointDir()
+    home = checkpoint_folder(spark)
     for name, stage in STAGES:
         path = f"{home}/pipeline-{uuid.uuid4().hex}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
