@@ -223,8 +223,9 @@ near AS (SELECT token, term, rank, damerau_levenshtein(token, term) AS distance
 
 
 def _tokens_and_dictionary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = _read(spark, sf_dir, "documents")
-    return vocabulary(docs, _WORDS).select(F.col("term").alias("token")), vocabulary(docs, _WORDS, least=FREQUENT)
+    """All words, and those that are frequent: ranks go by frequency, so these have the same ranks among themselves."""
+    terms = vocabulary(_read(spark, sf_dir, "documents"), _WORDS)
+    return terms.select(F.col("term").alias("token")), terms.where(F.col("count") >= FREQUENT)
 
 
 @query(f"{_PAIRS} SELECT token, term, rank, CAST(distance AS INTEGER) AS distance FROM near")
