@@ -21,6 +21,8 @@ ROWS, BANDS = 5, 26
 BLOCK = 1024
 
 
+#: Shingles of texts of so many bytes are kept for the next comparison; those of longer ones are made anew, as a few would fill a task's memory.
+CACHED = 1 << 14
 #: A hot key of a join is spread over so many salts.
 SALTS = 32
 
@@ -137,11 +139,12 @@ def link(texts: list[bytes], bands: np.ndarray, percent: int, label: np.ndarray,
     ``label``: documents of one label are joined already. ``left``: only pairs of one of the first ``left`` documents and one of the
     others. Pairs are looked at within each band's documents; joined documents are skipped, and a pair is compared once: by its
     shingles' hashes, and if these are similar, by the shingles themselves. Memory: a byte for each pair of the task's documents, which
-    are at most two blocks, and their sets.
+    are at most two blocks, their sets, and the shingles of 256 texts of at most ``CACHED`` bytes and of the two that are compared.
     """
     n, found = len(texts), []
     sets = shingles(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
-    whole = lru_cache(maxsize=256)(lambda i: whole_shingles(texts[i]))
+    cached = lru_cache(maxsize=256)(lambda i: whole_shingles(texts[i]))
+    whole = lambda i: cached(i) if len(texts[i]) <= CACHED else whole_shingles(texts[i])
     size = np.array([len(x) for x in sets])
     _, group = np.unique(label, return_inverse=True)  # the component of each document, renamed as components join
     side = np.zeros(n, np.int8) if left is None else (np.arange(n) >= left).astype(np.int8)
