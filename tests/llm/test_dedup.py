@@ -67,6 +67,22 @@ def test_links_are_confirmed_on_words(monkeypatch):
     assert minhash.link(texts, bands, 60, np.arange(3)) == [(0, 2)]
 
 
+def test_links_do_not_depend_on_what_is_kept(monkeypatch):
+    """Long texts, whose shingles are made anew for each comparison, are linked like short ones."""
+    rng, texts = random.Random(3), []
+    for _ in range(6):
+        base = helpers.words(rng, 80).split()
+        for k in range(4):
+            base[rng.randrange(80)] = f"z{k}"
+            texts.append(minhash.normalised(" ".join(base).encode()))
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    bands = minhash.signatures(minhash.shingles(data, np.cumsum([0, *map(len, texts)]))).view(np.int64)
+    want = minhash.link(texts, bands, 80, np.arange(len(texts)))
+    assert len(want) >= 12
+    monkeypatch.setattr(minhash, "CACHED", 0)
+    assert minhash.link(texts, bands, 80, np.arange(len(texts))) == want
+
+
 def test_near_columns(docs):
     more = helpers.clashing(docs, "id", "key", "n", "set", "bands", "rep", "group", "_text", "_id", "_key")
     plain = Counter(map(tuple, minhash.near_duplicates(docs).collect()))
