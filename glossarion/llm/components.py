@@ -13,7 +13,7 @@ from .common import release, stored
 
 #: Passes that shorten the links before labels are spread.
 PASSES = 2
-#: Links or labels of a file at least, where there would be fewer in each of Spark's shuffle partitions.
+#: Links or labels of a file, about, where each of Spark's shuffle partitions would have fewer.
 FILE_ROWS = 4096
 
 
@@ -50,8 +50,8 @@ def components(edges: DataFrame) -> DataFrame:
     First the links are shortened where tasks see them: sorted by their greater end, each Arrow batch keeps a link to the least node it
     reaches for each of its nodes, which leaves little more than one link a node. Then labels are spread in rounds: every node joins the least
     label of its neighbours and of its own label, so that distances halve, until none changes. Least labels are combined before they
-    are shuffled, joins on a hot node can be split, and only the news whether a label changed comes to the driver. Every file of a stored
-    table starts a process on file systems without native code, so small tables are kept in few files.
+    are shuffled, joins on a hot node can be split, and only the news whether a label changed comes to the driver. Every file that Hadoop
+    writes to a local file system without its native code starts a process, so small tables are kept in few files.
     """
     spark = edges.sparkSession
     links = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
