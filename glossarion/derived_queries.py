@@ -382,9 +382,9 @@ _SPOKEN = f"translate(lower(text), '{_LATIN}', '{_CYRILLIC}')"
 SELECT doc_id, md5(array_to_string(list_transform(p, lambda x: CASE x {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _MAP.items())} ELSE x END), '')) AS text_md5, CAST(len(list_filter(p, lambda x: x IN ({', '.join(f"'{k}'" for k in _MAP)}))) AS INT) AS n_edits FROM d""")
 def mapped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A typo map over all documents of plain prose, in the corrected alphabet; the tests cover texts with wrappers and zones."""
-    docs = _read(spark, sf_dir, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"[^a-zA-Z \n.,]")).select("doc_id", F.translate(F.lower("text"), _LATIN, _CYRILLIC).alias("text"))
+    docs = _read(spark, sf_dir, "documents").where(F.col("text").rlike(r"\A[a-zA-Z \n.,]*+\z")).select("doc_id", F.translate(F.lower("text"), _LATIN, _CYRILLIC).alias("text"))
     text = F.col("text")
-    wanted = spelling.edits(spelling.outcomes(spelling.eligible(text, 2, frozenset(), ()), _MAP, None, False))
+    wanted = spelling.edits(spelling.outcomes(spelling.eligible(text, 2, frozenset(), (), only=_MAP), _MAP, None, False))
     folded = docs.withColumn("f", spelling.apply_edits(text, wanted, zones.placeholder_spans(text), 1, True))
     return folded.select("doc_id", F.md5("f.text").alias("text_md5"), F.size("f.applied").alias("n_edits"))
 

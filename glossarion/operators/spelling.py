@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.regex import WORD, char_at, let, spans, tokens
+from ..functions.regex import WORD, beside, char_at, let, placed, replaced, spans, splice, token_parts
 
 #: Letters of the corrected alphabet; tokens with any other character are left alone.
 LETTERS = "а-яё"
@@ -76,7 +78,10 @@ def safe_candidate(token: Column, letters: str = LETTERS) -> Column:
 
 def wrapped(text: Column, start: Column, end: Column, prefixes: tuple[str, ...] = ()) -> Column:
     """Whether a token stands in brackets, quotes or slashes, is glued to a key, or follows a prefix that says not to touch it."""
-    before, after, two = char_at(text, start - 1), char_at(text, end), char_at(text, start - 2)
+    return _wrapped(char_at(text, start - 2), char_at(text, start - 1), char_at(text, end), prefixes)
+
+
+def _wrapped(two: Column, before: Column, after: Column, prefixes: tuple[str, ...]) -> Column:
     pair = ((before == "(") & (after == ")")) | (before.isin('"', "'") & (after == before)) | ((before == "/") & (after == "/"))
     glued = before.isin(":", "_") & two.rlike(f"[{WORD}]")
     return pair | glued | (before.isin(*prefixes) if prefixes else F.lit(False))
@@ -87,17 +92,20 @@ def plural_drop(token: Column, candidate: Column) -> Column:
     return (F.length(token) >= 4) & token.rlike("[ыи]$") & (candidate == token.substr(F.lit(1), F.length(token) - 1))
 
 
-def eligible(text: Column, least: int, untouched: frozenset[str], prefixes: tuple[str, ...], letters: str = LETTERS) -> Column:
-    """Tokens that may be corrected: array of (start, end, value)."""
+def eligible(text: Column, least: int, untouched: frozenset[str], prefixes: tuple[str, ...], letters: str = LETTERS, only: Collection[str] | None = None) -> Column:
+    """Tokens that may be corrected: array of (start, end, value). ``only``: those of a few words; no others are edited where all that
+    is wanted are the edits of a typo map.
+    """
 
-    def found(whole: Column) -> Column:
-        def keep(t: Column) -> Column:
-            ok = safe_token(t["value"], letters) & ~wrapped(whole, t["start"], t["end"], prefixes)
-            return ok & ~t["value"].isin(*sorted(untouched)) if untouched else ok
+    def found(parts: Column) -> Column:
+        def keep(t: Column, i: Column) -> Column:
+            ok = safe_token(t["value"], letters)
+            ok = ok & ~t["value"].isin(*sorted(untouched)) if untouched else ok
+            return ok & let(beside(parts, i), lambda x: ~_wrapped(x["two"], x["before"], x["after"], prefixes))
 
-        return F.filter(tokens(whole, least), keep)
+        return F.filter(placed(parts), keep)
 
-    return F.when(text.rlike(f"[{letters}]"), let(text, found)).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)"))
+    return F.when(text.rlike(f"[{letters}]"), let(token_parts(text, least, only), found)).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)"))
 
 
 def outcomes(found: Column, typo_map: dict[str, str], suggestions: Column | None, shadow: bool, letters: str = LETTERS, gate: dict[str, str] | None = None) -> Column:
@@ -167,7 +175,9 @@ def counters(results: Column) -> dict[str, Column]:
     }
 
 
-FOLD = f"struct<text:string,shift:int,last:int,applied:{EDIT},rejected:{EDIT}>"
+#: Edits that one fold puts into its array, which it copies with each.
+_RUN = 64
+_JUDGED = "array<struct<start:int,end:int,before:string,after:string,from:int,to:int,use:boolean>>"
 
 
 def apply_edits(text: Column, wanted: Column, blocked: Column, buffer: int, skip_overlaps: bool) -> Column:
@@ -175,30 +185,43 @@ def apply_edits(text: Column, wanted: Column, blocked: Column, buffer: int, skip
 
     An edit's place moves with what was applied before it. It is rejected if that place, widened by ``buffer``, meets one of the
     ``blocked`` spans, which are those of the text before any edit. ``skip_overlaps`` leaves out edits that begin before the last
-    applied one ended.
+    applied one ended; then all that are applied stand apart, and the text is built once and not with each edit.
     """
-    state = F.struct(text.alias("text"), F.lit(0).alias("shift"), F.lit(-1).alias("last"), F.expr(NONE).alias("applied"), F.expr(NONE).alias("rejected"))
+    state = lambda shift, last: F.struct(shift.alias("shift"), last.alias("last"), F.expr(f"cast(array() as {_JUDGED})").alias("out"))
 
     def fold(zones: Column) -> Column:
         def step(acc: Column, e: Column) -> Column:
-            def placed(p: Column) -> Column:
+            def judged(p: Column) -> Column:
                 near = F.exists(zones, lambda z: (p["start"] < z["end"] + buffer) & (p["end"] > z["start"] - buffer))
                 skip = (e["start"] < acc["last"]) if skip_overlaps else F.lit(False)
                 return let(F.struct(p.alias("p"), F.when(skip, "skip").when(near, "reject").otherwise("use").alias("what")), done)
 
             def done(x: Column) -> Column:
                 p, use = x["p"], x["what"] == "use"
-                moved = F.array(edit(p["start"], p["end"], e["before"], e["after"]))
+                moved = F.array(F.struct(p["start"].alias("start"), p["end"].alias("end"), e["before"].alias("before"), e["after"].alias("after"), e["start"].alias("from"), e["end"].alias("to"), use.alias("use")))
                 return F.struct(
-                    F.when(use, F.concat(acc["text"].substr(F.lit(1), p["start"]), e["after"], acc["text"].substr(p["end"] + 1, F.length(acc["text"])))).otherwise(acc["text"]).alias("text"),
                     F.when(use, acc["shift"] + F.length(e["after"]) - F.length(e["before"])).otherwise(acc["shift"]).alias("shift"),
                     F.when(use, e["end"]).otherwise(acc["last"]).alias("last"),
-                    F.when(use, F.concat(acc["applied"], moved)).otherwise(acc["applied"]).alias("applied"),
-                    F.when(x["what"] == "reject", F.concat(acc["rejected"], moved)).otherwise(acc["rejected"]).alias("rejected"),
+                    F.when(x["what"] == "skip", acc["out"]).otherwise(F.concat(acc["out"], moved)).alias("out"),
                 )
 
-            return let(F.struct((e["start"] + acc["shift"]).alias("start"), (e["end"] + acc["shift"]).alias("end")), placed)
+            return let(F.struct((e["start"] + acc["shift"]).alias("start"), (e["end"] + acc["shift"]).alias("end")), judged)
+
+        def several(acc: Column, run: Column) -> Column:
+            one = F.aggregate(run, state(acc["shift"], acc["last"]), step)
+            return let(one, lambda x: F.struct(x["shift"].alias("shift"), x["last"].alias("last"), F.concat(acc["out"], x["out"]).alias("out")))
+
+        runs = lambda found: F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / _RUN).cast("int")), lambda k: F.slice(found, k * _RUN + 1, F.lit(_RUN)))
+        begin = state(F.lit(0), F.lit(-1))
+        return let(wanted, lambda found: F.when(F.size(found) <= _RUN, F.aggregate(found, begin, step)).otherwise(F.aggregate(runs(found), begin, several)))
 
-        return F.aggregate(wanted, state, step)
+    def built(x: Column) -> Column:
+        used = F.filter(x["out"], lambda e: e["use"])
+        spliced = let(used, lambda u: replaced(text, u)) if skip_overlaps else F.aggregate(used, text, lambda acc, e: splice(acc, e["start"], e["end"], e["after"]))
+        plainly = lambda some: F.transform(some, lambda e: edit(e["start"], e["end"], e["before"], e["after"]))
+        return F.when(
+            x.isNotNull(),
+            F.struct(F.when(x["shift"].isNotNull(), spliced).alias("text"), x["shift"].alias("shift"), x["last"].alias("last"), plainly(used).alias("applied"), plainly(F.filter(x["out"], lambda e: ~e["use"])).alias("rejected")),
+        )
 
-    return let(blocked, fold)
+    return let(let(blocked, fold), built)
